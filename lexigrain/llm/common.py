@@ -101,6 +101,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
         small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         nxt = scratch.save(small.select("e.*").where("a <> b").distinct(), f"{tag}{n}")
         scratch.drop(f"{tag}{n - 1}")
+        scratch.release()
         now, cur = digest(nxt), nxt
         if now == seen:
             break
