@@ -13,11 +13,13 @@ one.  Documents with equal sets form a class, and classes are joined.
    two linked classes have one in common.  Three orders are used: by frequency,
    and by two coarser frequency steps with different hashes inside a step, so a
    passage that many documents share comes last in all of them.
-3. Under the first order each class is compared with the smallest class of its
-   buckets that it meets most often; classes that are not yet connected then meet
+3. Of the classes that have a prefix shingle of the first order, the one with the
+   fewest shingles of its own is the centre, and each class is compared with the
+   centre that it meets most often.  Classes that are not yet connected then meet
    those that share a prefix shingle under each of the three orders, by
-   intersecting the three lists of pairs.  Candidates are verified on the sets.
-   A group of near copies is thus connected by about as many pairs as members.
+   intersecting the three lists of pairs; a pair is listed only if lengths, places
+   and 512-bit maps of the sets allow the overlap.  Candidates are verified on the
+   sets.  A group of near copies is thus connected by about as many pairs as members.
 
 Nothing is capped, sampled or approximated but for 64-bit hash equality.
 
@@ -42,6 +44,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Shingles that a task gathers before it sends a block to each bucket.
 BLOCK = 3_000_000
+#: Longs in the map of a set; 512 bits by the top 9 bits of a hash.
+MAPS = 8
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -206,7 +210,9 @@ def _prefixes(counted: DataFrame, buckets: int, share: tuple[int, int]) -> DataF
                 k = m - least + 1
                 step = np.log2(f).astype(np.uint64)
                 p = [t[np.lexsort(o)[:k]] for o in ((mix(t, 1), f), (mix(t, 2), step), (mix(t, 3), step // np.uint64(2)))]
-                out.append((c, n, np.sort(t).tobytes(), *(_signed(x).tolist() for x in p)))
+                bits = np.zeros(64 * MAPS, dtype=np.uint8)
+                bits[t >> np.uint64(55)] = 1
+                out.append((c, n, int(m), np.sort(t).tobytes(), *(_signed(x).tolist() for x in p), *np.packbits(bits).view(np.int64).tolist()))
                 if len(out) == 500:
                     yield table(out)
                     out = []
@@ -214,10 +220,12 @@ def _prefixes(counted: DataFrame, buckets: int, share: tuple[int, int]) -> DataF
             yield table(out)
 
     def table(out: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["class", "n", "tokens", "p1", "p2", "p3"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3, *[pa.int64()] * MAPS]
+        names = ["class", "n", "m", "tokens", "p1", "p2", "p3", *(f"b{i}" for i in range(MAPS))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return counted.select("bucket", "class", "n", "block", "of").repartition(buckets, "bucket").mapInArrow(prefixes, "class long, n long, tokens binary, p1 array<long>, p2 array<long>, p3 array<long>")
+    schema = "class long, n long, m long, tokens binary, p1 array<long>, p2 array<long>, p3 array<long>" + "".join(f", b{i} long" for i in range(MAPS))
+    return counted.select("bucket", "class", "n", "block", "of").repartition(buckets, "bucket").mapInArrow(prefixes, schema)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -244,16 +252,16 @@ def _candidates(classes: DataFrame, label: DataFrame, order: str, share: tuple[i
     Lengths, and what can follow the place of the shingle, must allow the overlap.
     """
     up, down = share
-    rows = classes.join(label, "class").select("class", "n", "component", F.size(order).alias("k"), F.posexplode(order).alias("at", "token"))
-    # all but k - 1 of the required overlap lies behind the prefix; unique shingles come on top
-    rows = rows.withColumn("rest", F.ceil(F.lit(up) * F.col("n") / F.lit(down)) + F.col("k") - 1 - F.col("at"))
+    rows = classes.join(label, "class").select("class", "component", F.posexplode(order).alias("at", "token"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rows = rows.join(mixed, "token")
-    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "component", "rest")])
-    b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "component", "rest")])
+    maps = [f"b{i}" for i in range(MAPS)]
+    rows = rows.join(mixed, "token").join(classes.select("class", "n", "m", *maps), "class").withColumn("rest", F.col("m") - F.col("at"))
+    side = lambda x: rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "m", "component", "rest", *maps)])
+    only = lambda x, y: sum((F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in maps[1:]), F.bit_count(F.col(f"b0_{x}").bitwiseAND(F.bitwise_not(f"b0_{y}"))))
     need = F.lit(up) * (F.col("n_a") + F.col("n_b"))
     fit = (F.col("component_a") < F.col("component_b")) & (F.lit(down) * F.least("n_a", "n_b") >= F.lit(up) * F.greatest("n_a", "n_b")) & (F.lit(up + down) * F.least("rest_a", "rest_b") >= need)
-    return a.join(b, "token").where(fit).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    fit &= (F.lit(up + down) * (F.col("m_a") - only("a", "b")) >= need) & (F.lit(up + down) * (F.col("m_b") - only("b", "a")) >= need)
+    return side("a").join(side("b"), "token").where(fit).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -267,8 +275,8 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes = scratch.save(_prefixes(counted, buckets, share), "classes")
     scratch.release()
 
-    rows = classes.select("class", F.explode("p1").alias("token"))
-    first = rows.groupBy("token").agg(F.min("class").alias("first"), F.count("*").alias("size")).where("size > 1").select("token", "first")
+    rows = classes.select("class", (F.col("n") - F.col("m")).alias("own"), F.explode("p1").alias("token"))
+    first = rows.groupBy("token").agg(F.min(F.struct("own", "class")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("token", F.col("centre.class").alias("first"))
     met = rows.join(first, "token").where("class <> first").groupBy("class", "first").agg(F.count("*").alias("times"))
     star = met.groupBy("class").agg(F.max(F.struct("times", "first")).alias("best")).select(F.col("class").alias("a"), F.col("best.first").alias("b"))
     links = scratch.save(_verified(scratch.save(star, "star"), classes, share), "links")
