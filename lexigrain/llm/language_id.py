@@ -64,7 +64,7 @@ class TextModel:
         for c in counts.values():
             total.update(c)
         known = sorted(total, key=lambda f: (-total[f], f))[:size]
-        table = np.array([[counts[lang][f] for lang in self.languages] for f in known], dtype=np.float64).reshape(-1, len(self.languages)) + 0.5
+        table = np.array([[counts[lang][f] for lang in self.languages] for f in known], dtype=np.float64).reshape(len(known), len(self.languages)) + 0.5
         self.weights = dict(zip(known, np.log(table / table.sum(axis=0, keepdims=True)), strict=True))
 
     def log_likelihood(self, text: str) -> np.ndarray:
