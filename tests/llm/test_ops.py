@@ -252,7 +252,8 @@ def test_ppm(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens))
     held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    symbols = sum(len(texts[r.doc_id] or "") + 1 for r in held)
+    assert sum(r.score for r in held) > -0.45 * symbols  # under 1.5 bits a byte; syllables alone have about 1
     assert ppm.score(docs_frame(spark, texts).limit(0)).count() == 0
     one = ppm.adaptive(docs_frame(spark, ["abababababababab", "qwertyuiopasdfgh", None])).orderBy("doc_id").collect()
     assert one[0].score > one[1].score and one[2].score == pytest.approx(-math.log10(258))
