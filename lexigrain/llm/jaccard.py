@@ -43,7 +43,9 @@ from .common import Scratch, connected_components, shuffle_partitions
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Shingles that a task gathers before it sends a block to each bucket.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
+#: Bytes of input for each bucket of the counting step, at most.
+BUCKET_BYTES = 16_000_000
 #: Longs in the map of a set; 512 bits by the top 9 bits of a hash.
 MAPS = 8
 
@@ -103,9 +105,9 @@ def _deal(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             sets = list(held.values())
             tokens = np.concatenate(sets)
             of = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-            bucket = (tokens >> np.uint64(32)) % np.uint64(buckets)
-            order = np.lexsort((tokens, bucket))
-            tokens, of, bucket = tokens[order], of[order], bucket[order]
+            order = np.argsort(tokens)
+            tokens, of = tokens[order], of[order]
+            bucket = (tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets + 1)))
             blocks, of_classes = [], []
             for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True):
@@ -264,11 +266,18 @@ def _candidates(classes: DataFrame, label: DataFrame, order: str, share: tuple[i
     return side("a").join(side("b"), "token").where(fit).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Shuffle partitions, or more where the input is large, so that a bucket fits in a task's memory."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES + 1, 1 << 16))
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark), shuffle_partitions(spark)
+    scratch = Scratch(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    buckets = _buckets(source)
     counted = scratch.save(_count(_deal(source, n, buckets), buckets), "counted")
     scratch.release()
     documents = counted.where("kind = 0").select("doc_id", "class", "n")
