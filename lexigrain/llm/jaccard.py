@@ -252,18 +252,23 @@ def _candidates(classes: DataFrame, label: DataFrame, order: str, share: tuple[i
     """Pairs of classes in different components that share a prefix shingle under an order.
 
     Lengths, and what can follow the place of the shingle, must allow the overlap.
+    The classes of a shingle's largest component never meet each other.
     """
     up, down = share
-    rows = classes.join(label, "class").select("class", "component", F.posexplode(order).alias("at", "token"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    sized = label.join(label.groupBy("component").agg(F.count("*").alias("size")), "component")
+    rows = classes.join(sized, "class").select("class", "component", "size", F.posexplode(order).alias("at", "token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("most"))
+    mixed = mixed.where("low < high").select("token", F.col("most.component").alias("top"))
     maps = [f"b{i}" for i in range(MAPS)]
     rows = rows.join(mixed, "token").join(classes.select("class", "n", "m", *maps), "class").withColumn("rest", F.col("m") - F.col("at"))
-    side = lambda x: rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "m", "component", "rest", *maps)])
+    side = lambda x, of: of.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "m", "component", "top", "rest", *maps)])
     only = lambda x, y: sum((F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in maps[1:]), F.bit_count(F.col(f"b0_{x}").bitwiseAND(F.bitwise_not(f"b0_{y}"))))
     need = F.lit(up) * (F.col("n_a") + F.col("n_b"))
-    fit = (F.col("component_a") < F.col("component_b")) & (F.lit(down) * F.least("n_a", "n_b") >= F.lit(up) * F.greatest("n_a", "n_b")) & (F.lit(up + down) * F.least("rest_a", "rest_b") >= need)
+    apart = (F.col("component_a") < F.col("component_b")) | (F.col("component_b") == F.col("top_b"))
+    fit = apart & (F.lit(down) * F.least("n_a", "n_b") >= F.lit(up) * F.greatest("n_a", "n_b")) & (F.lit(up + down) * F.least("rest_a", "rest_b") >= need)
     fit &= (F.lit(up + down) * (F.col("m_a") - only("a", "b")) >= need) & (F.lit(up + down) * (F.col("m_b") - only("b", "a")) >= need)
-    return side("a").join(side("b"), "token").where(fit).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    met = side("a", rows.where("component <> top")).join(side("b", rows), "token").where(fit)
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def _buckets(docs: DataFrame) -> int:
