@@ -44,8 +44,6 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Shingles that a task gathers before it sends a block to each bucket.
 BLOCK = 1_500_000
-#: Bytes of input for each bucket of the counting step, at most.
-BUCKET_BYTES = 16_000_000
 #: Longs in the map of a set; 512 bits by the top 9 bits of a hash.
 MAPS = 8
 
@@ -271,18 +269,12 @@ def _candidates(classes: DataFrame, label: DataFrame, order: str, share: tuple[i
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def _buckets(docs: DataFrame) -> int:
-    """Shuffle partitions, or more where the input is large, so that a bucket fits in a task's memory."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES + 1, 1 << 16))
-
-
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = _buckets(source)
+    buckets = shuffle_partitions(spark)
     counted = scratch.save(_count(_deal(source, n, buckets), buckets), "counted")
     scratch.release()
     documents = counted.where("kind = 0").select("doc_id", "class", "n")
