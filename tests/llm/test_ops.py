@@ -169,6 +169,26 @@ def test_line_links_are_similar(spark):
     assert wide == out
 
 
+def test_line_recall(spark):
+    """Of the copies with edit similarity >= 0.9 (brute force) almost all are connected, at each length."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvw", k=rnd.randint(2, 9))) for _ in range(400)]
+    texts, pairs = [], collections.defaultdict(list)
+    for n, typos in [(6, False), (6, True), (12, False), (20, False), (20, True), (60, False), (60, True), (120, False)]:
+        for _ in range(5 if n > 60 else 20):
+            base = rnd.choices(words, k=n)
+            w = base[:]
+            for k in rnd.sample(range(n), max(1, n // 4 if typos else n // 15)):
+                w[k] = "x" + w[k][1:] if typos else rnd.choice(words)
+            texts += [" ".join(base), " ".join(w)]
+            if edit(*texts[-2:]) <= 0.1 * max(map(len, texts[-2:])) + 1e-9:
+                pairs[n, typos].append(len(texts) - 1)
+    out = {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs_frame(spark, texts)).collect()}
+    recall = {k: (sum(out[i] for i in v), len(v)) for k, v in pairs.items()}
+    print("recall by (words, typos):", recall)
+    assert len(recall) == 8 and all(found >= 0.9 * n for found, n in recall.values())
+
+
 def test_token_counts(spark, texts):
     rnd = random.Random(2)
     pieces = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 4))) + rnd.choice(["", "</w>"]) for _ in range(60)} | {"a", "b", "a</w>", "b</w>"})
