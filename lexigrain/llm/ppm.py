@@ -4,22 +4,16 @@ A byte-context trie of depth 4 is trained on the corpus: for each context of up
 to four symbols, the counts of the next one.  A symbol is coded under the longest
 seen context; where that hasn't seen it, an escape (method C: distinct / (total +
 distinct)) goes to the next shorter one, from which all symbols seen before are
-excluded; last comes a uniform choice of the rest.  Contexts don't reach over the
-start of a word, so a word's code length depends on the word alone and is found
-once for each distinct word of a block.  Code lengths add up per document.
-
-At the start of a word the longest context of all is the word itself: the most
-frequent words, and the end of the text, are symbols of their own there, with
-probability count / (N + V); all else escapes to the bytes with what is left.
-Bytes are learnt by update exclusion: a word's symbols count when the word was not
-yet a symbol, once for each distinct training word.
-
-The trie's rows of depth 2 to 4 are hashed to a fixed number of slots, so the
-table has at most ``CELLS`` counts at any corpus size: that bound, not the corpus,
-limits what is broadcast.  Every training word is counted.  The base score needs
-the counts of all words, which have no bound: only the most frequent ``TOP`` words
-of at most 64 bytes are broadcast, the rest are joined by shuffle, one row for
-each document and distinct rare word.
+excluded; last comes a uniform choice of the rest.  A text is its words, parted by
+one word mark, and an end; contexts run across words, before the text are word
+marks, and every occurrence in a training text counts.
+
+Contexts are exact and have no bound.  A symbol's probability depends on it and the
+four before it, its gram: grams are counted, priced by groups of equal last two
+context symbols (all counts of depth 2 to 4 that a price needs), and join the
+documents.  The most frequent ``CACHE`` grams, and for the base score ``TOP`` words of
+at most 64 bytes, are broadcast; that only spares the shuffle of their rows, and
+the rest are joined, one row for each document and distinct rare gram or word.
 
 Text: A-Z lower-cased; words `[^\\x20\\x09-\\x0D]+`, then one end.  Documents whose
 crc32 of the id as text, mod 7, is 2 are held out.
@@ -47,9 +41,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, worker_cache
 
 A, WORD, END = 258, 256, 257  # bytes, the end of a word (also its start), the end of a text
-SLOTS = (1, A, 1 << 14, 1 << 15, 1 << 15)
-BASE = tuple(int(x) for x in np.cumsum((0, *SLOTS)))
-CELLS = BASE[-1] * A
+DEPTH = 4
+BASE = tuple(sum(A**k for k in range(depth)) for depth in range(DEPTH + 1))  # first row of each depth
+CACHE = 3_000_000
+KEPT_SYMBOLS = 3_000_000
 TOP = 400_000
 KEPT_WORDS = 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -75,40 +70,50 @@ def rows_of(sequences: list[bytes], end: bool = False) -> tuple[np.ndarray, list
     place = np.arange(len(symbols)) - np.repeat(starts, n + 2)
     at = np.flatnonzero(place > 0)
     rows, context = [np.zeros(len(at), dtype=np.int64)], np.zeros(len(at), dtype=np.int64)
-    for depth in range(1, len(SLOTS)):
+    for depth in range(1, DEPTH + 1):
         context = context * A + symbols[np.maximum(at - depth, 0)]
-        slot = context if depth == 1 else (context * 0x2545F4914F6CDD1D >> 24) % SLOTS[depth]
-        rows.append(np.where(place[at] >= depth, BASE[depth] + slot, -1))
+        rows.append(np.where(place[at] >= depth, BASE[depth] + context, -1))
     return symbols[at], rows, np.repeat(np.arange(len(n)), n + 1)
 
 
+def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol's gram, context (latest symbol first) * A + symbol, and the index of its text."""
+    bodies = [b" ".join(words(t)) for t in texts]
+    n = np.array([len(b) for b in bodies], dtype=np.int64)
+    symbols = np.frombuffer(b"".join(b"    " + b + b" " for b in bodies), dtype=np.uint8).astype(np.int64)
+    symbols[symbols == 32] = WORD
+    ends = np.cumsum(n + DEPTH + 1) - 1
+    symbols[ends] = END
+    inner = np.ones(len(symbols), dtype=bool)
+    inner[((ends - n - DEPTH)[:, None] + np.arange(DEPTH)).ravel()] = False
+    gram = symbols[DEPTH - 1 : -1]
+    for depth in range(2, DEPTH + 1):
+        gram = gram * A + symbols[DEPTH - depth : -depth]
+    return (gram * A + symbols[DEPTH:])[inner[DEPTH:]], np.repeat(np.arange(len(n)), n + 1)
+
+
 class Trie:
-    """The trained counts, and log10 probabilities of words."""
+    """Counts by cell, row * A + symbol, and log10 probabilities."""
 
     def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        self.table = np.zeros(CELLS, dtype=np.float32 if not len(counts) or counts.max() >= 1 << 32 else np.uint32)
-        self.table[cells] = counts
-        row = cells // A
-        self.total = np.bincount(row, weights=counts, minlength=BASE[-1])
-        self.kinds = np.bincount(row, minlength=BASE[-1])
-        self.end = float(self.log10([b""], end=True)[0])
+        order = np.argsort(cells)
+        self.cells, self.counts = cells[order], counts[order]
+
+    def _row(self, r: int) -> np.ndarray:
+        low, high = np.searchsorted(self.cells, (r * A, (r + 1) * A))
+        out = np.zeros(A)
+        out[self.cells[low:high] - r * A] = self.counts[low:high]
+        return out
 
     def log10(self, sequences: list[bytes], end: bool = False) -> np.ndarray:
         symbols, rows, of = rows_of(sequences, end)
-        best = np.full(len(symbols), -1, dtype=np.int64)
-        for r in rows:
-            best = np.where((r >= 0) & (self.total[r] > 0), r, best)
-        seen = np.where(best >= 0, self.table[best * A + symbols], 0).astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.log10(seen / (self.total[best] + self.kinds[best]))
-        for i in np.flatnonzero(seen == 0).tolist():
-            out[i] = self._escaped(int(symbols[i]), [int(r[i]) for r in rows if r[i] >= 0])
+        out = [self._escaped(int(x), [int(r[i]) for r in rows if r[i] >= 0]) for i, x in enumerate(symbols)]
         return np.bincount(of, weights=out, minlength=len(sequences))
 
     def _escaped(self, symbol: int, rows: list[int]) -> float:
         out, excluded = 0.0, np.zeros(A, dtype=bool)
         for r in reversed(rows):
-            counts = np.where(excluded, 0, self.table[r * A : (r + 1) * A]).astype(np.float64)
+            counts = np.where(excluded, 0, self._row(r))
             kinds, total = np.count_nonzero(counts), counts.sum()
             if not kinds:
                 continue
@@ -141,51 +146,77 @@ def word_counts(source: DataFrame) -> DataFrame:
     return source.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def trie_cells(counts: DataFrame) -> DataFrame:
-    """(cell, c): at most CELLS rows of trie counts from word counts."""
+def gram_counts(source: DataFrame) -> DataFrame:
+    """(gram, c) of all documents of (doc_id, text); only training documents count."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def send() -> pa.RecordBatch:
-            at, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, where = np.unique(at, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.bincount(where, weights=weight).astype(np.int64))], ["cell", "c"])
+            gram, counted = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, c = np.unique(gram[counted], return_counts=True)
+            new = np.setdiff1d(gram[~counted], found)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((found, new))), pa.array(np.concatenate((c, np.zeros(len(new), dtype=np.int64))))], ["gram", "c"])
 
         size = 0
         for batch in batches:
-            known = batch.column(0).to_pylist()
-            end = np.array([w == b"\n" for w in known], dtype=bool)
-            for which, mark in ((~end, False), (end, True)):
-                at = np.flatnonzero(which)
-                if len(at):
-                    symbols, rows, _ = rows_of([b"" if mark else known[i] for i in at], end=mark)
-                    for r in rows:
-                        held.append(((r * A + symbols)[r >= 0], np.ones(np.count_nonzero(r >= 0))))
-                        size += len(held[-1][0])
-            if size > 3_000_000:
-                yield send()
-                held, size = [], 0
+            for start in range(0, batch.num_rows, 256):
+                ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                gram, of = grams_of(texts)
+                held.append((gram, ~np.array([held_out(i) for i in ids], dtype=bool)[of]))
+                size += len(gram)
+                if size > KEPT_SYMBOLS:
+                    yield send()
+                    held, size = [], 0
         if held:
             yield send()
 
-    return counts.mapInArrow(cells, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    return source.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def prices(grams: DataFrame) -> DataFrame:
+    """(gram, c, p): log10 probability of each gram's symbol after its context."""
+    low = grams.where("c > 0").groupBy(F.expr(f"gram div {A**DEPTH}").alias("latest"), (F.col("gram") % A).alias("symbol")).agg(F.sum("c").alias("c")).toArrow()  # at most A * A rows
+    latest, symbol, count = (c.to_numpy() for c in low.columns)
+    first = np.bincount(symbol, weights=count, minlength=A)
+
+    def price(group: pa.Table) -> pa.Table:
+        gram, c = (group.column(x).to_numpy() for x in ("gram", "c"))
+        seen = c > 0
+        _, of = np.unique(gram // A, return_inverse=True)
+        whole, kinds = np.bincount(of, weights=c), np.bincount(of, weights=seen)
+        p = np.log10(np.where(seen, c, 1) / np.maximum(whole + kinds, 1)[of])
+        if not seen.all():
+            mine = latest == gram[0] // A**DEPTH
+            cells, counts = [np.flatnonzero(first), (BASE[1] + latest[mine]) * A + symbol[mine]], [first[first > 0], count[mine]]
+            row = lambda depth, g: BASE[depth] + g // A ** (DEPTH + 1 - depth)
+            for depth in range(2, DEPTH + 1):
+                found, where = np.unique(row(depth, gram[seen]) * A + gram[seen] % A, return_inverse=True)
+                cells.append(found)
+                counts.append(np.bincount(where, weights=c[seen], minlength=len(found)))
+            trie = Trie(np.concatenate(cells).astype(np.int64), np.concatenate(counts))
+            for i in np.flatnonzero(~seen).tolist():
+                g = int(gram[i])
+                p[i] = trie._escaped(g % A, [0, *(row(depth, g) for depth in range(1, DEPTH + 1))])
+        return pa.table({"gram": gram, "c": c, "p": p})
+
+    return grams.withColumn("low", F.expr(f"gram div {A**3}")).groupBy("low").applyInArrow(price, "gram long, c long, p double")
 
 
 def frequent(counts: DataFrame, top: int) -> DataFrame:
-    """The words of the highest count steps (eighths of a power of two) that together have at most top words."""
+    """The rows of the highest count steps (eighths of a power of two) that together are at most top."""
     step = F.floor(F.log2("c") * 8)
-    sizes = counts.groupBy(step.alias("step")).count().collect()  # at most 8 * 63 rows
+    sizes = counts.where("c > 0").groupBy(step.alias("step")).count().collect()  # at most 8 * 63 rows
     least, left = math.inf, top
     for r in sorted(sizes, key=lambda r: -r["step"]):
         left -= r["count"]
         if left < 0:
             break
         least = r["step"]
-    return counts.where((step >= F.lit(float(least))) & (F.octet_length("word") <= 64) & (F.col("word") != F.lit(b"\n")))
+    return counts.withColumn("cached", F.coalesce(step >= F.lit(float(least)), F.lit(False)))
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, cache_grams: int = CACHE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -194,55 +225,64 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
     counts = scratch.save(word_counts(source), "words")
     scratch.release()
     n_train, n_kinds, n_ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == F.lit(b"\n"), F.col("c"))), F.lit(0))).first()
-    cells = trie_cells(counts).toArrow()
-    known = frequent(counts, top).toArrow()
-    model = spark.sparkContext.broadcast((scratch.dir, cells.column(0).to_numpy(), cells.column(1).to_numpy(), known.column(0).to_pylist(), np.log10(known.column(1).to_numpy() + 1.0)))
+    priced = scratch.save(prices(scratch.save(gram_counts(source), "grams")), "prices")
+    scratch.release()
+    priced = frequent(priced, cache_grams)
+    cached = priced.where("cached").select("gram", "p").toArrow()
+    grams, p = (c.to_numpy() for c in cached.columns)
+    order = np.argsort(grams)
+    known = frequent(counts, top).where(F.col("cached") & (F.octet_length("word") <= 64) & (F.col("word") != F.lit(b"\n"))).select("word", "c").toArrow()
+    model = spark.sparkContext.broadcast((scratch.dir, grams[order], p[order], known.column(0).to_pylist(), np.log10(known.column(1).to_numpy() + 1.0)))
     end_base = math.log10(n_ends + 1)
-    whole = n_train + n_kinds
-    spent = n_ends + sum(known.column(1).to_pylist())
-    escape = math.log10((whole - spent) / whole) if whole else 0.0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         name, *parts = model.value
         if cache.get("ppm", (None,))[0] != name:
-            cache["ppm"] = (name, Trie(*parts[:2]), dict(zip(parts[2], parts[3].tolist(), strict=True)), {})
-        _, trie, top_words, lengths = cache["ppm"]
-        end = math.log10(n_ends / whole) if n_ends else escape + trie.end
+            cache["ppm"] = (name, *parts[:2], dict(zip(parts[2], parts[3].tolist(), strict=True)))
+        _, grams, prices_of, top_words = cache["ppm"]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
                 docs = [words(t) for t in texts]
-                if len(lengths) > KEPT_WORDS:
-                    lengths.clear()
-                if new := list(set().union(*docs) - lengths.keys()):
-                    made = trie.log10(new) + escape
-                    for i, w in enumerate(new):
-                        if w in top_words:
-                            made[i] = math.log10((10 ** top_words[w] - 1) / whole)
-                    lengths.update(zip(new, made.tolist(), strict=True))
+                found, of = grams_of(texts)
+                order = np.argsort(found)
+                found, of = found[order], of[order]
+                at = np.searchsorted(grams, found)
+                hit = np.zeros(len(found), dtype=bool)
+                inside = at < len(grams)
+                hit[inside] = grams[at[inside]] == found[inside]
+                scores = np.bincount(of[hit], weights=prices_of[at[hit]], minlength=len(ids)).tolist()
+                missed, times = np.unique(of[~hit] * A ** (DEPTH + 1) + found[~hit], return_counts=True)
+                first = row
                 out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for doc, ws in zip(ids, docs, strict=True):
+                for doc, ws, value_of in zip(ids, docs, scores, strict=True):
                     rare = Counter(w for w in ws if w not in top_words)
                     known = len(ws) - rare.total()
-                    for column, value in zip(out, (b"\n%d" % row, row, doc, 0, len(ws) + 1, known + (n_ends > 0), sum(map(top_words.get, ws, repeat(0.0))) + end_base, sum(map(lengths.__getitem__, ws)) + end), strict=True):
+                    for column, value in zip(out, (b"\n%d" % row, row, doc, 0, len(ws) + 1, known + (n_ends > 0), sum(map(top_words.get, ws, repeat(0.0))) + end_base, value_of), strict=True):
                         column.append(value)
                     for w, k in rare.items():
                         for column, value in zip(out, (w, row, None, k, None, None, None, None), strict=True):
                             column.append(value)
                     row += 1
+                for x, k in zip(missed.tolist(), times.tolist(), strict=True):
+                    which, gram = divmod(x, A ** (DEPTH + 1))
+                    for column, value in zip(out, (b"\n\n%d" % gram, first + which, None, k, None, None, None, None), strict=True):
+                        column.append(value)
                 types = [pa.binary(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["word", "row", "doc_id", "tf", "n_tokens", "known", "base", "score"])
 
     rows = source.mapInArrow(scan, f"word binary, row long, doc_id {kind}, tf long, n_tokens long, known long, base double, score double")
-    joined = rows.join(counts.where(F.col("word") != F.lit(b"\n")), "word", "left")
+    rest = priced.where("not cached").select(F.concat(F.lit("\n\n"), F.col("gram").cast("string")).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "p")
+    table = counts.where(F.col("word") != F.lit(b"\n")).select("word", "c", F.lit(None).cast("double").alias("p")).union(rest)
+    joined = rows.join(table, "word", "left")
     per = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.when(F.col("c").isNotNull(), F.col("tf")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("base", F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("logs"),
-        F.max("score").alias("score"),
+        F.sum(F.coalesce("score", F.col("tf") * F.col("p"))).alias("score"),
     )
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     return per.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * math.log10(n_train + n_kinds + 1)).alias("base_score"), "score")

@@ -279,6 +279,34 @@ def test_ppm(spark):
     assert one[0].score > one[1].score and one[2].score == pytest.approx(-math.log10(258))
 
 
+def test_ppm_is_the_model_of_whole_texts(spark):
+    """Scores are those of plain PPM over whole texts with exact contexts, whatever is broadcast."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["ab", "abc", "cab", "d"], k=12)) for _ in range(40)] + [None, "abzq"]
+    symbols = [[256] * 4 + [256 if b == 32 else b for b in (t or "").encode()] + [257] for t in texts]
+    counts = collections.defaultdict(collections.Counter)
+    for i, s in enumerate(symbols):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in range(4, len(s)):
+                for depth in range(5):
+                    counts[tuple(s[k - depth : k])][s[k]] += 1
+
+    def code(s, k):
+        out, gone = 0.0, set()
+        for depth in range(4, -1, -1):
+            if seen := {x: c for x, c in counts.get(tuple(s[k - depth : k]), {}).items() if x not in gone}:
+                total = sum(seen.values()) + len(seen)
+                if s[k] in seen:
+                    return out + math.log10(seen[s[k]] / total)
+                out += math.log10(len(seen) / total)
+                gone |= seen.keys()
+        return out - math.log10(258 - len(gone))
+
+    plain = {i: sum(code(s, k) for k in range(4, len(s))) for i, s in enumerate(symbols)}
+    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts)).collect()} == pytest.approx(plain)
+    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts), top=0, cache_grams=20).collect()} == pytest.approx(plain)
+
+
 def test_trie_is_a_distribution():
     """Probabilities of the next symbol add up to one under every context, with exclusion."""
     import numpy as np
