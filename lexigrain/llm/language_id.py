@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
-- Text: naive Bayes over words and character trigrams, fitted on at most
-  ``train_rows`` labelled documents; the log likelihood is divided by a length
+- Text: naive Bayes over words and character trigrams, fitted on about
+  ``train_rows`` labelled documents, drawn by hash from each language; the log likelihood is divided by a length
   factor, as neighbouring features are not independent.
 - Declared language of the markup (`<html lang=...>`), trusted to DECLARED.
 - Address suffix: a country suffix of one of the languages, trusted to SUFFIX.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,15 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> TextModel:
-    """A model of at most train_rows rows; each text counts up to its first 5,000 characters."""
-    rows = labelled.select(F.substring(F.col(text_col), 1, 5000), F.col(lang_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).limit(train_rows).collect()
+    """A model of about train_rows whole texts: of each language an equal share, those of the smallest hash."""
+    source = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    sizes = sorted((r["count"], r["lang"]) for r in source.groupBy("lang").count().collect())
+    parts, left = [], train_rows
+    for k, (size, lang) in enumerate(sizes):
+        share = max(1, left // (len(sizes) - k))
+        left -= min(size, share)
+        parts.append(source.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(share))
+    rows = reduce(DataFrame.union, parts).collect() if parts else []
     return TextModel([tuple(r) for r in rows])
 
 

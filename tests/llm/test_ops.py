@@ -340,6 +340,13 @@ def test_language(spark):
     assert empty.where("lang is null").count() == len(rows)
 
 
+def test_language_sample(spark):
+    """Every language is in the sample wherever its rows are, and texts count whole."""
+    rows = [(f"the and {i}" + " the" * 2000 + " late", "en") for i in range(30)] + [(f"und das {i}", "de") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").coalesce(1), train_rows=10)
+    assert model.languages == ["de", "en"] and "late" in model.weights
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "?"), (2, 0, "system", "alone"), (None, 0, "eve", "x"), (1, 5000, "ann", "late")]
     out = {(r.conv_id, r.block, r.speaker): r for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1))).collect()}
