@@ -218,8 +218,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     """Tokenize and pack documents, cut where it saves padding.
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and with_ids the piece's ids.  All tokens of a document but the
-    first of a piece bear loss.
+    offset, and with_ids the piece's ids.  Every token counts as
+    bearing loss, so with max_loss = max_tokens the third limit repeats the first;
+    pack_examples takes loss tokens of its own.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
