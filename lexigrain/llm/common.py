@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import types
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]+"
+#: Spark deletes the shuffle files of a write when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,35 +45,41 @@ def worker_cache() -> dict:
 class Scratch:
     """Tables in the folder that the cluster shares, to cut lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests in local mode) a temporary folder is made and set.
+    The folder is the session's spark.checkpoint.dir.  Only a local session, as in
+    tests, may leave that unset: a temporary folder is made and set.  Tables are
+    dropped as soon as nothing reads them, and what is left when the session ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = tempfile.mkdtemp(prefix="lexigrain-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.dir = f"{base.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"
+        self._at(self.dir, "mkdirs")
+        self._at(self.dir, "deleteOnExit")
+
+    def _at(self, path: str, action: str, *args) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), action)(path, *args)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; its shuffle files may go then."""
-        path = f"{self.dir}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Write df and read it back; shuffle files of the write go when it ends."""
+        path, before = f"{self.dir}/{name}", self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that are no longer held."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+            self._at(f"{self.dir}/{name}", "delete", True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -94,14 +101,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
     while seen[0]:
         n += 1
         both = cur.union(cur.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own, so that Spark can split the rows of a node with many neighbours
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}{n}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         nxt = scratch.save(small.select("e.*").where("a <> b").distinct(), f"{tag}{n}")
-        scratch.drop(f"{tag}{n - 1}")
-        scratch.release()
+        scratch.drop(f"{tag}{n - 1}", f"{tag}{n}-low")
         now, cur = digest(nxt), nxt
         if now == seen:
             break

@@ -276,10 +276,8 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = shuffle_partitions(spark)
     counted = scratch.save(_count(_deal(source, n, buckets), buckets), "counted")
-    scratch.release()
     documents = counted.where("kind = 0").select("doc_id", "class", "n")
     classes = scratch.save(_prefixes(counted, buckets, share), "classes")
-    scratch.release()
 
     rows = classes.select("class", (F.col("n") - F.col("m")).alias("own"), F.explode("p1").alias("token"))
     first = rows.groupBy("token").agg(F.min(F.struct("own", "class")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("token", F.col("centre.class").alias("first"))

@@ -223,10 +223,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     counts = scratch.save(word_counts(source), "words")
-    scratch.release()
     n_train, n_kinds, n_ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == F.lit(b"\n"), F.col("c"))), F.lit(0))).first()
     priced = scratch.save(prices(scratch.save(gram_counts(source), "grams")), "prices")
-    scratch.release()
     priced = frequent(priced, cache_grams)
     cached = priced.where("cached").select("gram", "p").toArrow()
     grams, p = (c.to_numpy() for c in cached.columns)
