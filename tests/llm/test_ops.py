@@ -71,6 +71,20 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_blocks(spark):
+    """Items in blocks that overlap in one document are cut as in one block; repeated rows and items stay apart."""
+    a, b = [f"a{k}" for k in range(1, 11)], [f"b{k}" for k in range(1, 6)]
+    items = [(1, " ".join(a)), (2, " ".join(a[5:] + b)), (2, " ".join(a[5:] + b)), (None, "lone"), (3, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, [" ".join([*a, *b, "tail"]), " ".join([*a, *b, "tail"]), "a lone word " * 3000, None]).withColumns({"row": F.lit(1), "at": F.lit("x"), "doc": F.lit(2)})
+    for spans in (True, False):
+        one, many = (sorted(decontaminate.remove_contaminated(docs, benchmark, spans=spans, max_broadcast=m).collect(), key=lambda r: r.doc_id) for m in (1 << 20, 60))
+        assert one == many and len(one) == (4 if spans else 1)
+        if spans:
+            assert [r.text for r in one] == [" tail", " tail", "a  word " * 3000, None]
+    assert sorted(decontaminate.contamination(docs, benchmark).collect(), key=str) == sorted(decontaminate.contamination(docs, benchmark, max_broadcast=60).collect(), key=str)
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
