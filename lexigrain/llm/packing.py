@@ -78,9 +78,9 @@ class Bins:
                 if fits.any():
                     i = int(np.where(fits, view @ (left / self.limits**2), -1.0).argmax())
                     n = int(view[i, 0])
-                elif self.cut and left.min() >= 1:
+                elif self.cut and left[:2].min() >= 1:
                     i = int(view[:, 0].argmax())
-                    n = int(min(left[0], left[2]))
+                    n = int(min(left[0], left[2] + 1))
                 else:
                     break
                 key, start = self.open[i]
@@ -89,10 +89,10 @@ class Bins:
                     left -= view[i]
                     self._drop(i)
                 else:
-                    share = np.array([n, 0, min(float(n), view[i, 2])])
-                    left -= share + (0, 1, 0)
+                    # the rest is an example of its own, whose first token bears no loss
+                    left -= (n, 1, n - 1)
                     self.open[i][1] += n
-                    self.size[i] -= share
+                    self.size[i] -= (n, 0, n)
             if not out:  # an example over the limits that may not be cut: a sequence of its own
                 out = [(*self.open[0], int(self.size[0, 0]))]
                 self._drop(0)
@@ -218,10 +218,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     """Tokenize and pack documents, cut where it saves padding.
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and with_ids the piece's ids.  Every token counts as
-    bearing loss, so with max_loss = max_tokens the third limit repeats the first;
-    pack_examples takes loss tokens of its own.
+    offset, and with_ids the piece's ids.  A piece's first token has nothing before
+    it and bears no loss, so a piece of n tokens has n - 1 that do.  max_loss is at
+    least max_tokens - 1 here; pack_examples takes any limit.
     """
+    if max_loss < max_tokens - 1:
+        raise ValueError("max_loss below max_tokens - 1: use pack_examples")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -248,12 +250,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
             return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
         def full(doc, ids: bytes, total: int, rest: list[tuple]) -> Iterator[list[tuple]]:
-            whole = total // max_tokens if max_loss >= max_tokens else 0
+            whole = total // max_tokens
             for k in range(whole):
                 yield [((doc, 0, ids, total), k * max_tokens, max_tokens)]
             if n := total - whole * max_tokens:
                 start = whole * max_tokens
-                rest.append(((doc, start, ids[4 * start :], total), start, n, n))
+                rest.append(((doc, start, ids[4 * start :], total), start, n, n - 1))
 
         for batch in batches:
             kind = batch.schema.field(0).type
