@@ -109,15 +109,19 @@ FROM b
 """
 
 OP9_SQL = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(turn // 1024, 0) AS block FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
-r AS (SELECT t.conv_id, block, speaker, turn, role, text, coalesce(role = speaker, false) AS mine,
+WITH c AS (SELECT conv_id, turn, replace(role, '<|', '<¦') AS role, replace(coalesce(text, ''), '<|', '<¦') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS place FROM c),
+t AS (SELECT conv_id, place // 1024 AS block, place, role, text, true AS own FROM n),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role IS NOT NULL AND role <> 'system'),
+y AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) AS k FROM c WHERE role = 'system') WHERE k = 1),
+u AS (SELECT * FROM t UNION ALL SELECT b.conv_id, b.block, -1, 'system', y.text, false FROM (SELECT DISTINCT conv_id, block FROM t WHERE block > 0) b JOIN y ON b.conv_id IS NOT DISTINCT FROM y.conv_id),
+r AS (SELECT u.conv_id, block, speaker, place, own, coalesce(role = speaker, false) AS mine,
              CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
                   ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' || chr(10) END AS head, text || '<|end|>' AS body
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+      FROM u JOIN p ON u.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS until
-      FROM r WINDOW w AS (PARTITION BY conv_id, block, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text))
-SELECT conv_id, CAST(block AS BIGINT) AS block, speaker, count(*) AS n_turns, CAST(count(*) FILTER (mine) AS BIGINT) AS n_targets,
+      FROM r WINDOW w AS (PARTITION BY conv_id, block, speaker ORDER BY place))
+SELECT conv_id, CAST(block AS BIGINT) AS block, speaker, count(*) FILTER (own) AS n_turns, CAST(count(*) FILTER (mine) AS BIGINT) AS n_targets,
        string_agg(head || body || chr(10), '' ORDER BY k) AS text,
        coalesce(string_agg(CAST(until - 1 - length(body) AS BIGINT)::VARCHAR || '-' || CAST(until - 1 AS BIGINT)::VARCHAR, ',' ORDER BY k) FILTER (mine), '') AS mask
 FROM o GROUP BY conv_id, block, speaker
