@@ -1,22 +1,30 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Every response gives a metadata record (application/warc-fields) and a conversion
-record (text/plain), both naming it in WARC-Refers-To, and keeping its target
-address, date, source headers and digests.  Record ids are made from the
-response's id and the record's type, so a repeated run gives the same records.
+record (text/plain).  Both name the response in WARC-Refers-To, with its target
+address and date, and keep its headers and payload digest.  Where the table has a
+column of record ids, these are what is referred to; else an id is made from the
+response's own id and address.  Ids of the new records are made from it and the
+record's type, so a repeated run gives the same records.  Header lines that aren't
+given are left out and never made up, but for WARC-Date, which a record must have:
+it is the response's date, or ``EPOCH`` where that is unknown.
 
-``write`` makes a folder of WARC/1.1 files (gzip), one a partition, through
-Spark's text writer: the record separator is the line separator.
+``write`` makes a folder of WARC/1.1 files, one a partition and each record a gzip
+member of its own, through Spark's text writer.
+
+A page is read once from left to right, in time linear in its length.
 
 Defined results: a null page is a response with an empty body and gives empty
-text; a null address or date leaves that header out; each input row gives two
-rows, repeated rows give equal records; a null id gives ids made from the address;
-an empty table gives an empty result; other columns are never read.
+text; a null address leaves that header out; line breaks in a header's value become
+spaces; each input row gives two rows, repeated rows give equal records; a null id
+gives ids made from the address; an empty table gives an empty result; other columns
+are never read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
@@ -28,13 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*\Z|<(?:script|style)\b.*\Z", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+EPOCH = "1970-01-01T00:00:00Z"
+#: Elements whose content isn't text, and elements that end a line.
+RAW = {"script", "style", "noscript", "template"}
+BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+_NAME = re.compile(r"/?([A-Za-z!?][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'>/])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 def digest(data: bytes) -> str:
@@ -45,48 +52,130 @@ def record_id(response: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {response}')}>"
 
 
-def _line(text: str) -> str:
-    return " ".join(entities.unescape(_TAG.sub(" ", text)).split())
+def pieces(page: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of a page from left to right: text, or tag with what stands between `<` and `>`.
+
+    Comments and the content of RAW elements are left out; without an end they run to the
+    end of the page.  A `<` that begins no tag is text.
+    """
+    lower, at, n = page.lower(), 0, len(page)
+    if len(lower) != n:  # a character whose lower case is longer
+        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in page)
+    ends: dict[str, int] = {}
+
+    def find(what: str, start: int) -> int:
+        """The next place of what; a search that found nothing, or a place ahead, isn't made again."""
+        if what not in ends or -1 < ends[what] < start:
+            ends[what] = lower.find(what, start)
+        return ends[what]
+
+    while at < n:
+        start = find("<", at)
+        if start < 0:
+            yield "text", page[at:]
+            return
+        if start > at:
+            yield "text", page[at:start]
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield "text", " "
+            continue
+        end = find(">", start)
+        m = _NAME.match(page, start + 1, end) if end >= 0 else None
+        if not m:
+            yield "text", "<"
+            at = start + 1
+            continue
+        yield "tag", page[start + 1 : end]
+        at, name = end + 1, m[1].lower()
+        if name in RAW and page[start + 1] != "/" and page[end - 1] != "/":
+            close = find(f"</{name}", at)
+            end = find(">", close) if close >= 0 else -1
+            at = n if end < 0 else end + 1
+            yield "text", " "
+
+
+def attribute(tag: str, name: str) -> str | None:
+    for m in _ATTRIBUTE.finditer(tag):
+        if m[1].lower() == name:
+            return entities.unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """Plain text, a line for each block; declared language; title; addresses of links."""
+    out: list[str] = []
+    lang, title, links, into_title = None, None, [], False
+    for kind, x in pieces(page):
+        if kind == "text":
+            out.append(" ".join(x.split()) if not x[:1].isspace() and not x[-1:].isspace() else f" {' '.join(x.split())} ")
+            if into_title:
+                title = (title or "") + x
+            continue
+        name = _NAME.match(x)[1].lower()
+        if name in BLOCKS:
+            out.append("\n")
+        if name == "title":
+            into_title = title is None and x[0] != "/"
+            title = "" if into_title else title
+        elif name == "html" and lang is None:
+            lang = attribute(x, "lang")
+        elif name == "a" and x[0] != "/" and (link := attribute(x, "href")) is not None:
+            links.append(_one_line(link.strip()))
+    text = "\n".join(x for x in (" ".join(entities.unescape(line).split()) for line in "".join(out).split("\n")) if x)
+    return text, lang, None if title is None else " ".join(entities.unescape(title).split()), links
 
 
 def plain_text(page: str) -> str:
-    """A line for each block of text, without scripts, styles, comments and tags."""
-    text = _TAG.sub("", _BREAK.sub("\n", re.sub(r"\s+", " ", _DROP.sub(" ", page))))
-    return "\n".join(x for x in (" ".join(entities.unescape(line).split()) for line in text.split("\n")) if x)
-
-
-def metadata(page: str, body: bytes, headers: str) -> str:
-    bare = _DROP.sub(" ", page)
-    fields = [("source-header", h) for h in headers.split("\r\n") if h] + [("source-payload-digest", digest(body)), ("source-payload-length", str(len(body)))]
-    if m := _LANG.search(bare):
-        fields.append(("declared-language", m[1].lower()))
-    if m := _TITLE.search(bare):
-        fields.append(("title", _line(m[1])))
-    fields += [("outlink", entities.unescape("".join(m)).strip().replace("\r", "").replace("\n", "")) for m in _HREF.findall(bare)]
+    return read_page(page)[0]
+
+
+def declared_language(page: str) -> str | None:
+    """The language of the first `html` element, lower-case."""
+    at = page.lower().find("<html")
+    lang = attribute(page[at : page.find(">", at) + 1 or len(page)], "lang") if at >= 0 else None
+    return lang.strip().lower() if lang and lang.strip() else None
+
+
+def _one_line(value: str) -> str:
+    return " ".join(re.split(r"[\r\n]+", value))
+
+
+def metadata(read: tuple, body: bytes, headers: str) -> str:
+    fields = [("source-header", h) for h in re.split(r"[\r\n]+", headers) if h] + [("source-payload-digest", digest(body)), ("source-payload-length", str(len(body)))]
+    if read[1]:
+        fields.append(("declared-language", _one_line(read[1]).lower()))
+    if read[2] is not None:
+        fields.append(("title", read[2]))
+    fields += [("outlink", link) for link in read[3]]
     return "".join(f"{k}: {v}\r\n" for k, v in fields)
 
 
-def derive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, headers_col: str | None = None) -> DataFrame:
+def derive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, headers_col: str | None = None, record_col: str | None = None) -> DataFrame:
     """Two rows a page: page_id, warc_type, record_id, refers_to, target_uri, content_type,
     content_length, block_digest, payload_digest (of the response), header (the record's lines) and block.
+
+    date_col: dates as they stand in WARC-Date; headers_col: the response's header lines;
+    record_col: the response's WARC-Record-ID.
     """
-    date = F.col(date_col).cast("string") if date_col else F.lit(None).cast("string")
-    headers = F.coalesce(F.col(headers_col).cast("string"), F.lit("")) if headers_col else F.lit(HTTP)
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), date.alias("date"), headers.alias("headers"))
+    given = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+    source = pages.select(F.col(id_col).alias("page_id"), given(url_col).alias("url"), given(html_col).alias("html"), given(date_col).alias("date"), F.coalesce(given(headers_col), F.lit("")).alias("headers"), given(record_col).alias("record"))
     names = ["warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "header", "block"]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
-            for page_id, url, page, date, headers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, page, date, headers, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = page or ""
-                body = page.encode("utf-8", "replace")
-                response = record_id(f"{'' if page_id is None else page_id} {url or ''}", "response")
-                for kind, content, block in (("metadata", "application/warc-fields", metadata(page, body, headers)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+                body, read = page.encode("utf-8", "replace"), read_page(page)
+                response = _one_line(record) if record else record_id(f"{'' if page_id is None else page_id} {url or ''}", "response")
+                for kind, content, block in (("metadata", "application/warc-fields", metadata(read, body, headers)), ("conversion", "text/plain; charset=utf-8", read[0])):
                     raw = block.encode("utf-8", "replace")
                     rid, block_digest, payload = record_id(response, kind), digest(raw), digest(body)
-                    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Refers-To: {response}"]
-                    head += [f"WARC-Target-URI: {url}"] * (url is not None) + [f"WARC-Date: {date}", f"WARC-Refers-To-Date: {date}"] * (date is not None)
+                    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {_one_line(date or EPOCH)}", f"WARC-Refers-To: {response}"]
+                    head += [f"WARC-Target-URI: {_one_line(url)}", f"WARC-Refers-To-Target-URI: {_one_line(url)}"] if url else []
+                    head += [f"WARC-Refers-To-Date: {_one_line(date)}"] if date else []
                     head += [f"WARC-Source-Payload-Digest: {payload}", f"WARC-Block-Digest: {block_digest}", f"Content-Type: {content}", f"Content-Length: {len(raw)}"]
                     ids.append(page_id)
                     out.append((kind, rid, response, url, content, len(raw), block_digest, payload, "\r\n".join(head), block))
@@ -99,5 +188,17 @@ def derive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
 
 
 def write(records: DataFrame, path: str) -> None:
-    """WARC files: header, empty line, block, then the two line ends that close a record."""
-    records.select(F.concat("header", F.lit("\r\n\r\n"), "block").alias("record")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """WARC files, each record a gzip member: header, empty line, block, then the two line ends that close a record.
+
+    A member's last byte is the highest of its size, 0 below 16 MiB: it is taken off
+    and comes back as the writer's line separator.  A larger record takes more members.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x[i : i + (1 << 23)] for x in batch.column(0).to_pylist() for i in range(0, len(x), 1 << 23)]
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0)[:-1] for x in raw], pa.binary())], ["member"])
+
+    record = F.concat("header", F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).cast("binary")
+    made = records.select(record.alias("record")).mapInArrow(members, "member binary")
+    made.select(F.col("member").cast("string").alias("member")).write.option("lineSep", "\0").text(path)

@@ -310,25 +310,79 @@ def test_token_counts(spark, texts):
 
 def test_warc(spark, tmp_path):
     page = '<html lang="de"><head><title>A &amp; B</title><script>x</script></head><body><p>One<br>two &eacute;</p><!-- no --><a href="/x?a=1&amp;b">l</a></body></html>'
-    pages = spark.createDataFrame([(1, "http://a.de/", page), (2, None, None), (3, "http://b.fr/", "")], "page_id long, url string, html string").withColumn("block", F.lit(1))
-    rows = {(r.page_id, r.warc_type): r for r in warc.derive(pages).collect()}
-    assert len(rows) == 6
+    rows = [(1, "http://a.de/", page, "2020-01-02T03:04:05Z", "HTTP/1.1 200 OK\r\nX: y", "<urn:uuid:1>"), (2, None, None, None, None, None), (3, "http://b.fr/\r\nX: forged", "", None, None, None), (3, "http://b.fr/\r\nX: forged", "", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, date string, headers string, rid string").withColumn("block", F.lit(1))
+    made = warc.derive(pages, date_col="date", headers_col="headers", record_col="rid")
+    rows = {(r.page_id, r.warc_type): r for r in made.collect()}
+    assert len(rows) == 6 and made.count() == 8 and warc.derive(pages.limit(0)).count() == 0
     m, c = rows[1, "metadata"], rows[1, "conversion"]
-    assert c.block == "A & B\nOne\ntwo é\nl" and m.refers_to == c.refers_to and m.record_id != c.record_id
-    assert "outlink: /x?a=1&b\r\n" in m.block and "declared-language: de\r\n" in m.block and "source-header: HTTP/1.1 200 OK" in m.block
+    assert c.block == "A & B\nOne\ntwo é\nl" and m.refers_to == c.refers_to == "<urn:uuid:1>" and m.record_id != c.record_id
+    assert "outlink: /x?a=1&b\r\n" in m.block and "declared-language: de\r\n" in m.block and "source-header: HTTP/1.1 200 OK\r\nsource-header: X: y\r\n" in m.block and "title: A & B\r\n" in m.block
+    assert "WARC-Date: 2020-01-02T03:04:05Z" in c.header and "WARC-Refers-To-Date: 2020" in c.header and f"WARC-Date: {warc.EPOCH}" in rows[2, "conversion"].header
     assert c.content_length == len(c.block.encode()) and c.block_digest == warc.digest(c.block.encode()) and c.payload_digest == warc.digest(page.encode())
-    assert rows[2, "conversion"].block == "" and rows[2, "conversion"].target_uri is None
-    warc.write(warc.derive(pages).repartition(1).orderBy("record_id"), str(tmp_path / "w"))
-    import gzip
+    assert rows[2, "conversion"].block == "" and rows[2, "conversion"].target_uri is None and "source-header" not in rows[2, "metadata"].block
+    assert not any(x.startswith("X:") for x in rows[3, "metadata"].header.split("\r\n"))
+    warc.write(made.repartition(1).orderBy("record_id"), str(tmp_path / "w"))
+    import zlib as z
 
-    raw = b"".join(gzip.open(f).read() for f in (tmp_path / "w").glob("*.gz"))
     seen = 0
-    while raw:
-        head, _, raw = raw.partition(b"\r\n\r\n")
-        n = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length"))[16:])
-        assert raw[n : n + 4] == b"\r\n\r\n"
-        raw, seen = raw[n + 4 :], seen + 1
-    assert seen == 6 and html.unescape("&eacute;") == "é"
+    for f in (tmp_path / "w").glob("part-*"):
+        raw = f.read_bytes()
+        while raw:
+            member = z.decompressobj(31)
+            record, raw = member.decompress(raw), member.unused_data
+            assert member.eof
+            head, _, rest = record.partition(b"\r\n\r\n")
+            n = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length"))[16:])
+            assert rest[n:] == b"\r\n\r\n"
+            seen += 1
+    assert seen == 8
+
+
+def test_warc_against_parser():
+    """Words of the text, links, title and language are those of the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.raw, self.text, self.links, self.lang = 0, [], [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in warc.RAW
+            if tag in warc.BLOCKS:
+                self.text.append(" ")
+            if tag == "a" and not self.raw and dict(attrs).get("href") is not None:
+                self.links.append(dict(attrs)["href"].strip())
+            if tag == "html" and self.lang is None:
+                self.lang = dict(attrs).get("lang")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in warc.RAW and self.raw > 0
+            if tag in warc.BLOCKS:
+                self.text.append(" ")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text.append(data)
+
+    rnd = random.Random(11)
+    parts = ["word", " ", "\n", "&amp;", "&eacute;t&eacute;", "<p>", "</p>", "<b>", "</b>", "<br>", "<script>if (1) { x = 'y' }</script>", "<style>p {}</style>", "<noscript>off</noscript>", "<!-- c <p> -->", "<a href='/x?y=1&amp;z'>", "</a>", '<A HREF="q" class=k>', "<li>", "é日", "<td>", "</td>"]
+    for k in range(300):
+        page = f'<html lang="{rnd.choice(["de", "en-US"])}"><body>' + "".join(rnd.choices(parts, k=rnd.randint(0, 40))) + "</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        text, lang, _, links = warc.read_page(page)
+        assert "".join(text.split()) == "".join("".join(plain.text).split()), page
+        assert (lang, links) == (plain.lang, plain.links) and warc.declared_language(page) == plain.lang.lower()
+    import time
+
+    for bad in ("<noscript>", "<a ", "<!--", "<script>", "<", "<html ", "<p <", "&", "<title>", "<a", "<a>" + "b" * 999_990):
+        began = time.perf_counter()
+        warc.read_page(bad * (1_000_000 // len(bad)))
+        warc.read_page("<html " + bad[:1] * 500_000 + "x" * 500_000 + ">")
+        assert time.perf_counter() - began < 8, bad
 
 
 def test_ppm(spark):
@@ -416,6 +470,40 @@ def test_language(spark):
     assert empty.where("lang is null").count() == len(rows)
 
 
+def test_language_brute(spark):
+    """Posteriors are those of a plain loop: own text, declaration, suffix, prior of the other pages of host, domain, all."""
+    rnd = random.Random(13)
+    words = {"en": ["the", "and", "with"], "de": ["und", "nicht", "das"], "fr": ["le", "et", "avec"]}
+    labelled = spark.createDataFrame([(" ".join(rnd.choices(words[k], k=9)), k) for k in words for _ in range(9)], "text string, lang string")
+    model = language_id.fit(labelled)
+    hosts = ["http://a.co.uk/", "http://b.co.uk/x", "https://u@c.example.de:80/", "http://d.example.de", "no address", None]
+    rows = [(k, rnd.choice(hosts), rnd.choice(["", '<html lang="FR-ca">', "<html lang=xx>"]) + "<p>" + " ".join(rnd.choices(words[rnd.choice(list(words))], k=rnd.randint(0, 4)))) for k in range(60)] + [(60, hosts[0], None), (1, hosts[1], "<p>the")]
+    out = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
+
+    def soft(logs):
+        whole = sum(math.exp(x) for x in logs)
+        return [math.exp(x) / whole for x in logs]
+
+    texts = [model.log_likelihood(warc.plain_text(h)).tolist() if h else [0.0] * 3 for _, _, h in rows]
+    alone = [soft(x) for x in texts]
+    host = [{hosts[0]: "a.co.uk", hosts[1]: "b.co.uk", hosts[2]: "c.example.de", hosts[3]: "d.example.de"}.get(u) for _, u, _ in rows]
+    domain = [h and (h if h.endswith("uk") else "example.de") for h in host]
+    wanted = []
+    for k, (page, _, h) in enumerate(rows):
+        prior = [1 / 3] * 3
+        for same, weight in ((lambda j: True, 3.0), (lambda j: domain[k] and domain[j] == domain[k], 20.0), (lambda j: host[k] and host[j] == host[k], 20.0)):
+            others = [alone[j] for j in range(len(rows)) if j != k and same(j)]
+            prior = [(sum(p[i] for p in others) + weight * prior[i]) / (len(others) + weight) for i in range(3)]
+        logs = [texts[k][i] + math.log(prior[i]) for i in range(3)]
+        for said, trust in ((warc.declared_language(h or "") or "", 0.8), ({"uk": "en", "de": "de"}.get((host[k] or "").rpartition(".")[2], ""), 0.6)):
+            if said[:2] in model.languages:
+                logs = [x + math.log(trust if lang == said[:2] else (1 - trust) / 2) for x, lang in zip(logs, model.languages, strict=True)]
+        best = max(range(3), key=lambda i: (soft(logs)[i], -i))
+        wanted.append((page, model.languages[best], round(soft(logs)[best], 9)))
+    assert sorted((r.page_id, r.lang, round(r.posterior, 9)) for r in out) == sorted(wanted)
+    assert language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0), model).count() == 0
+
+
 def test_language_sample(spark):
     """Every language is in the sample wherever its rows are, and texts count whole."""
     rows = [(f"the and {i}" + " the" * 2000 + " late", "en") for i in range(30)] + [(f"und das {i}", "de") for i in range(3)]
