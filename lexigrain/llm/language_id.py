@@ -5,9 +5,9 @@
   factor, as neighbouring features are not independent.
 - Declared language of the markup (`<html lang=...>`), trusted to DECLARED.
 - Address suffix: a country suffix of one of the languages, trusted to SUFFIX.
-- Host prior: text posteriors of all pages, added up by host, by registered domain
-  and over all pages (grouped aggregation); each level is smoothed with the one
-  above, with STRENGTH pages' worth of weight.
+- Host prior: text posteriors of all other pages, added up by host, by registered
+  domain and over all pages (grouped aggregation), the page's own taken off at each
+  level; each level is smoothed with the one above, with STRENGTH pages' worth of weight.
 
 The posterior is the normalised product.  Hosts are never gathered: sums are
 partially aggregated, and joined back by host.
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .warc import _LANG, plain_text
+from .warc import declared_language, plain_text
 
 TRAIN_ROWS = 4000
 FEATURES = 200_000
 DECLARED, SUFFIX, STRENGTH = 0.8, 0.6, 20.0
 #: Country suffixes and their main language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
+#: Labels below which countries give names.
+SECOND_LEVEL = {"ac", "co", "com", "edu", "gob", "gov", "net", "org"}
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,6 +55,13 @@ def features(text: str) -> Counter:
     return out
 
 
+def registered_domain(host: str) -> str:
+    """The last two labels, or three where the last but one is an administrative one below a country (`co.uk`)."""
+    labels = host.split(".")
+    below = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL
+    return ".".join(labels[-3 if below else -2 :])
+
+
 class TextModel:
     """Log likelihoods of the most frequent features by language."""
 
@@ -102,11 +111,11 @@ def identify(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url
         for batch in batches:
             out: list[tuple] = []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                m, lang = _HOST.match(url or ""), _LANG.search(page or "")
+                m, lang = _HOST.match(url or ""), declared_language(page or "")
                 host = m[1].lower() if m else None
-                declared = lang[1].lower().split("-")[0] if lang else None
+                declared = lang.split("-")[0] if lang else None
                 suffix = SUFFIXES.get(host.rpartition(".")[2]) if host else None
-                domain = ".".join(host.split(".")[-2:]) if host else None
+                domain = registered_domain(host) if host else None
                 out.append((host, domain, declared, suffix, model.log_likelihood(plain_text(page)).tolist() if page else [0.0] * len(model.languages)))
             columns = zip(*out, strict=True) if out else [[]] * 5
             types = [pa.string()] * 4 + [pa.list_(pa.float64())]
@@ -129,17 +138,20 @@ def identify(pages: DataFrame, model: TextModel, *, id_col: str = "page_id", url
     hosts = scratch.save(hosts, "hosts")
     domains = hosts.where("domain is not null").groupBy("domain").agg(F.sum("n").alias("dn"), *[F.sum(f"s{i}").alias(f"d{i}") for i in k])
     world = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in k]).first()
-    top = [(world[i + 1] + 1.0) / (world[0] + len(languages)) for i in k]
-    up = [(F.col(f"d{i}") + STRENGTH * F.lit(top[i])) / (F.col("dn") + STRENGTH) for i in k]
-    prior = [(F.col(f"s{i}") + STRENGTH * u) / (F.col("n") + STRENGTH) for i, u in zip(k, up, strict=True)]
-    priors = hosts.where("host is not null").join(domains, "domain").select("host", *[p.alias(f"q{i}") for i, p in zip(k, prior, strict=True)])
+    priors = hosts.where("host is not null").join(domains, "domain").drop("domain")
     joined = found.join(priors, "host", "left")
+    # what the page itself has added is taken off at each level, so that its text counts once
+    own = lambda i: alone[i]
+    every = [(F.lit(world[i + 1]) - own(i) + 1.0) / F.lit(float(world[0] - 1 + len(languages))) for i in k]
+    up = [F.when(F.col("dn").isNull(), e).otherwise((F.col(f"d{i}") - own(i) + STRENGTH * e) / (F.col("dn") - 1 + STRENGTH)) for i, e in zip(k, every, strict=True)]
+    prior = [F.when(F.col("n").isNull(), e).otherwise((F.col(f"s{i}") - own(i) + STRENGTH * u) / (F.col("n") - 1 + STRENGTH)) for i, e, u in zip(k, every, up, strict=True)]
+    joined = joined.withColumns({f"q{i}": F.greatest(p, F.lit(1e-12)) for i, p in zip(k, prior, strict=True)})
 
     def trust(column: str, share: float, lang: str):
         known = F.col(column).isin(languages)
         return F.when(known, F.log(F.when(F.col(column) == lang, F.lit(share)).otherwise(F.lit((1 - share) / max(1, len(languages) - 1))))).otherwise(F.lit(0.0))
 
-    logs = [F.get("text", F.lit(i)) + F.log(F.coalesce(F.col(f"q{i}"), F.lit(top[i]))) + trust("declared", DECLARED, lang) + trust("suffix", SUFFIX, lang) for i, lang in zip(k, languages, strict=True)]
+    logs = [F.get("text", F.lit(i)) + F.log(f"q{i}") + trust("declared", DECLARED, lang) + trust("suffix", SUFFIX, lang) for i, lang in zip(k, languages, strict=True)]
     best = lambda values: F.array_max(F.array(*[F.struct(v.alias("p"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, v, lang in zip(k, values, languages, strict=True)]))
     made = joined.select("page_id", "host", "declared", "suffix", best([F.get("text", F.lit(i)) for i in k]).alias("t"), best(normal(logs)).alias("b"), F.exists("text", lambda x: x != 0).alias("has"))
     return made.select("page_id", "host", "declared", "suffix", F.when(F.col("has"), F.col("t.lang")).alias("text_lang"), F.col("b.lang").alias("lang"), F.col("b.p").alias("posterior"))
