@@ -133,6 +133,9 @@ def test_quality_edges(spark, texts):
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(marked), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 50 or 100 * len(marked) > 50 * len(w)) and not (r.base_failed and r.kept)
     assert quality.quality(docs_frame(spark, texts).limit(0)).count() == 0
+    kept = quality.keep_good(docs_frame(spark, texts))
+    assert kept.columns == docs_frame(spark, texts).columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in rows if rows[i].kept)
+    assert quality.keep_good(docs_frame(spark, texts).limit(0)).count() == 0
     order = quality.cascade_order(docs_frame(spark, texts), "text")
     assert set(order) == set(quality.rules(F.lit(""), F.struct(*[F.lit(0).alias(c) for c in quality.FEATURES])))
     junk = docs_frame(spark, [LONG + " fine words here " + LONG.replace("lorem", "more") + " and then some others follow to reach fifty words in all so that it stays", "### $$$ %%% " * 40])
