@@ -84,7 +84,19 @@ def djb2(text: Column, modulus: int = 100_003) -> Column:
 
 
 def times31(text: Column, modulus: int) -> Column:
-    return polynomial_hash(text, 31, 0, modulus)
+    return polynomial_hash(text, 31, 5381, modulus)
+
+
+def pair_times31(left: Column, right: Column, modulus: int) -> Column:
+    """times31 of a pair, parted by `#`."""
+    return times31(F.concat(left, F.lit("#"), right), modulus)
+
+
+def number_or_text(cell: Column) -> tuple[Column, Column]:
+    """(number, text) of a trimmed cell: one of them is null; an empty cell is text."""
+    cell = F.btrim(cell)
+    number = F.when(cell.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), cell.try_cast("double"))
+    return number, F.when(number.isNull(), cell)
 
 
 def fnv1a(text: Column, mask: int = 0xFFFFFFFF) -> Column:
@@ -97,8 +109,11 @@ def fnv1a(text: Column, mask: int = 0xFFFFFFFF) -> Column:
 
 
 def variant_label(file_name: Column) -> Column:
-    """The variant that a trace file's name tells; the name without .csv if none."""
-    name = F.regexp_extract(file_name, "([^/]*)$", 1)
+    """The variant that the name of a trace file, or of the folder of its part files, tells; the name without .csv if none.
+
+    Fixed values: the families' names and marks, and their order.
+    """
+    name = F.regexp_extract(F.regexp_replace(file_name, "/part-[^/]*$", ""), "([^/]*)/*$", 1)
     low = F.lower(name)
     found = lambda pattern: F.nullif(F.regexp_extract(low, pattern, 1), F.lit(""))
     return F.coalesce(

@@ -22,9 +22,12 @@ Merge = tuple[str, str]
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """Checkpoints go to the folder in spark.checkpoint.dir; only a local session may leave it unset and gets one of its own."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrain-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexigrain-"))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:

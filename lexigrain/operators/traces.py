@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.functions.text import variant_number
+from lexigrain.operators.bpe import shared_checkpoints
+
 WALL = "decimal(18,6)"
 
 
 def wall() -> Column:
-    return F.col("wall_ms").cast(WALL)
+    """A missing time counts as 0."""
+    return F.coalesce(F.col("wall_ms").cast(WALL), F.lit(0).cast(WALL))
 
 
 def by_step() -> Window:
@@ -52,9 +56,9 @@ def speedups(trace: DataFrame, baseline: str) -> DataFrame:
 
 
 def nearest(trace: DataFrame, p: float, name: str) -> DataFrame:
-    """(variant, name): the value at index floor(n * p) of the sorted ones."""
+    """(variant, name): the value at index floor(n * p) of the sorted ones, missing ones as 0."""
     w = Window.partitionBy("variant")
-    ranked = trace.select("variant", "wall_ms", F.row_number().over(w.orderBy("wall_ms")).alias("i"), F.count("*").over(w).alias("n"))
+    ranked = trace.select("variant", F.coalesce("wall_ms", F.lit(0.0)).alias("wall_ms")).select("variant", "wall_ms", F.row_number().over(w.orderBy("wall_ms")).alias("i"), F.count("*").over(w).alias("n"))
     return ranked.where(F.col("i") - 1 == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select("variant", F.col("wall_ms").alias(name))
 
 
@@ -89,12 +93,48 @@ def by_position(trace: DataFrame, variants: list[str], column: str = "wall_ms")
     return placed.groupBy("position").pivot("variant", variants).agg(F.max(column))
 
 
+def with_extremes(merges: DataFrame, **values: Column) -> DataFrame:
+    """merges with aggregates of the whole table as columns, by a broadcast of one row."""
+    return merges.crossJoin(F.broadcast(merges.agg(*[v.alias(k) for k, v in values.items()])))
+
+
 def top_merges(merges: DataFrame, n: int = 30) -> DataFrame:
     """Most frequent merges with merged symbol, its length and percent of the largest."""
-    ranked = merges.withColumn("largest", F.max("freq").over(Window.partitionBy(F.lit(1))))
+    ranked = with_extremes(merges, largest=F.max("freq"))
     return ranked.orderBy(F.desc("freq"), "step").limit(n).select("step", "pair_a", "pair_b", "freq", F.concat("pair_a", "pair_b").alias("merged"), (F.length("pair_a") + F.length("pair_b")).alias("merged_len"), F.round(F.col("freq") * 100.0 / F.greatest(F.coalesce("largest", F.lit(1)), F.lit(1)), 6).alias("percent"))
 
 
+def first_steps(merges: DataFrame, n: int) -> DataFrame:
+    """The first n steps of each variant, or of a single trace."""
+    return merges.where(F.col("step") <= n)
+
+
+def head(trace: DataFrame, k: int = 5) -> DataFrame:
+    """The k rows of the smallest steps."""
+    return trace.orderBy("step", *[c for c in ("variant",) if c in trace.columns]).limit(k)
+
+
+def family(trace: DataFrame, prefix: str) -> DataFrame:
+    """(n, total_ms) of the variants of a family (`OMP`, `MPI-`) by the number in their names, in its order; 0 without one."""
+    mine = trace.where(F.startswith(F.col("variant"), F.lit(prefix)))
+    return mine.groupBy(F.coalesce(variant_number(F.col("variant")), F.lit(0)).alias("n")).agg(F.sum(wall()).cast("double").alias("total_ms")).orderBy("n")
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "step", parts: int | None = None) -> DataFrame:
+    """rows with their place, from 1, in the order: sorted by range, and each part begins where those before it end.
+
+    Only the parts' sizes, one row each, meet in one place.
+    """
+    spark = rows.sparkSession
+    shared_checkpoints(spark)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part_of": F.spark_partition_id(), "place_of": F.monotonically_increasing_id()}).checkpoint()
+    sizes = placed.groupBy("part_of").agg(F.count("*").alias("n"), F.min("place_of").alias("low")).withColumnRenamed("part_of", "of")
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = placed.join(F.broadcast(starts), placed.part_of == starts.of)
+    return joined.withColumn(name, F.col("before") + F.col("place_of") - F.col("low") + 1).drop("part_of", "place_of", "of", "n", "low", "before")
+
+
 def bottom_merges(merges: DataFrame, n: int = 10) -> DataFrame:
     return merges.orderBy("freq", "step").limit(n)
 
@@ -107,17 +147,16 @@ def search(merges: DataFrame, query: str, n: int = 100) -> DataFrame:
 
 def heatmap_cut(merges: DataFrame, bins: int = 10) -> DataFrame:
     """Mean frequency by right-closed bin of steps and merged length."""
-    w = Window.partitionBy(F.lit(1))
-    low, high = F.min("step").over(w), F.max("step").over(w)
+    low, high = F.col("low"), F.col("high")
     b = F.when(high == low, 0).otherwise(F.greatest(F.ceil((F.col("step") - low) * F.lit(float(bins)) / (high - low)) - 1, F.lit(0)))
-    return _heatmap(merges.withColumn("bin", b.cast("int")))
+    return _heatmap(with_extremes(merges, low=F.min("step"), high=F.max("step")).withColumn("bin", b.cast("int")))
 
 
 def heatmap_floor(merges: DataFrame, bins: int = 10, longest: int = 12) -> DataFrame:
     """Mean frequency by floor bin of steps and merged length up to longest."""
-    high = F.max("step").over(Window.partitionBy(F.lit(1)))
-    b = F.least(F.floor((F.col("step") - 1) * F.lit(float(bins)) / high), F.lit(bins - 1))
-    return _heatmap(merges.withColumn("bin", b.cast("int")).where(F.length("pair_a") + F.length("pair_b") <= longest))
+    b = F.least(F.floor((F.col("step") - 1) * F.lit(float(bins)) / F.col("high")), F.lit(bins - 1))
+    made = with_extremes(merges, high=F.max("step")).withColumn("bin", b.cast("int"))
+    return _heatmap(made.where(F.length("pair_a") + F.length("pair_b") <= longest))
 
 
 def _heatmap(merges: DataFrame) -> DataFrame:

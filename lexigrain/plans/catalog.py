@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import text as T
 from lexigrain.operators import bpe, traces, words
+from lexigrain.sources import files
 
 MERGES = 10
 BASELINE = "click"
@@ -35,12 +37,12 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_count(table(spark, sf_dir, "documents"))
 
 
-_models: dict[tuple[int, str], tuple[list[tuple], DataFrame]] = {}
+_models: dict[tuple[str, str], tuple[list[tuple], DataFrame]] = {}
 
 
 def model(spark: SparkSession, sf_dir: str) -> tuple[list[tuple], DataFrame]:
     """(trace rows, final vocabulary), trained once a session and folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         trace, vocab = bpe.train(counts(spark, sf_dir), MERGES)
         _models[key] = ([tuple(r) for r in trace.orderBy("step").collect()], vocab.checkpoint())
@@ -349,12 +351,12 @@ def trace_union(spark, sf_dir):
 
 
 # words stand in for merges: step by frequency, the pair is the first character and the rest
-_MERGES = f"{W}, m AS (SELECT row_number() OVER (ORDER BY freq DESC, word) AS step, substr(word, 1, 1) AS pair_a, substr(word, 2) AS pair_b, freq FROM w WHERE freq >= 20)"
+_MERGES = f"{W}, m AS (SELECT row_number() OVER (ORDER BY freq DESC, word) AS step, substr(word, 1, 1) AS pair_a, substr(word, 2) AS pair_b, freq FROM w)"
 
 
 def word_merges(spark, sf_dir) -> DataFrame:
-    w = counts(spark, sf_dir).where("freq >= 20")
-    return w.select(F.row_number().over(traces.Window.orderBy(F.desc("freq"), "word")).alias("step"), F.substring("word", 1, 1).alias("pair_a"), F.expr("substring(word, 2)").alias("pair_b"), "freq")
+    w = traces.numbered(counts(spark, sf_dir), F.desc("freq"), F.asc("word"))
+    return w.select("step", F.substring("word", 1, 1).alias("pair_a"), F.expr("substring(word, 2)").alias("pair_b"), "freq")
 
 
 @query(f"WITH {_MERGES} SELECT step, pair_a, pair_b, freq, pair_a || pair_b AS merged, length(pair_a) + length(pair_b) AS merged_len, round(freq * 100.0::DOUBLE / (SELECT max(freq) FROM m), 6) AS percent FROM m ORDER BY freq DESC, step LIMIT 30")
@@ -382,18 +384,156 @@ def heatmap_floor(spark, sf_dir):
     return traces.heatmap_floor(word_merges(spark, sf_dir))
 
 
-FILES = ["out/seq_results.csv", "omp_8t.csv", "mpi_4p_results.csv", "cuda_results.csv", "hybrid_2p.csv", "hybrid.csv", "other.csv"]
-_LABELS = ["Sequential", "OMP-8t", "MPI-4p", "CUDA", "Hybrid-2p", "Hybrid", "other"]
-_CLASSES = ["seq", "omp", "mpi", "cuda", "hybrid", "hybrid", "seq"]
+FILES = ["out/seq_results.csv", "omp_8t.csv", "mpi_4p_results.csv", "cuda_results.csv", "hybrid_2p.csv", "hybrid.csv", "other.csv", "notes.txt", "OMP_2t.CSV"]
+_FILES = "x AS (SELECT file, regexp_extract(file, '[^/]*$') AS name, lower(regexp_extract(file, '[^/]*$')) AS low FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") v(file))"
+_LABELS = """l AS (SELECT file, CASE WHEN contains(low, 'seq') THEN 'Sequential'
+ WHEN contains(low, 'hybrid') THEN CASE WHEN regexp_matches(low, '[0-9]+p') THEN 'Hybrid-' || regexp_extract(low, '([0-9]+)p', 1) || 'p' ELSE 'Hybrid' END
+ WHEN contains(low, 'cuda') THEN 'CUDA' WHEN regexp_matches(low, 'omp.*?[0-9]+t') THEN 'OMP-' || regexp_extract(low, 'omp.*?([0-9]+)t', 1) || 't'
+ WHEN regexp_matches(low, 'mpi.*?[0-9]+p') THEN 'MPI-' || regexp_extract(low, 'mpi.*?([0-9]+)p', 1) || 'p' ELSE replace(name, '.csv', '') END AS label FROM x)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{label}', '{k}')" for f, label, k in zip(FILES, _LABELS, _CLASSES, strict=True)) + ") x(file, label, class)")
+def _files(spark) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in FILES], "file string")
+
+
+@query(f"WITH {_FILES}, {_LABELS} SELECT file, label, CASE WHEN lower(label) LIKE '%seq%' THEN 'seq' WHEN lower(label) LIKE '%omp%' THEN 'omp' WHEN lower(label) LIKE '%hybrid%' THEN 'hybrid' WHEN lower(label) LIKE '%cuda%' THEN 'cuda' WHEN lower(label) LIKE '%mpi%' THEN 'mpi' ELSE 'seq' END AS class FROM l")
 def label_inference(spark, sf_dir):
-    f = spark.createDataFrame([(x,) for x in FILES], "file string").withColumn("label", T.variant_label(F.col("file")))
+    f = _files(spark).withColumn("label", T.variant_label(F.col("file")))
     return f.withColumn("class", T.variant_class(F.col("label")))
 
 
+@query(f"WITH {_FILES} SELECT file FROM x WHERE lower(file) LIKE '%.csv'")
+def csv_file_names(spark, sf_dir):
+    return files.only_csv(_files(spark), "file")
+
+
 @query("SELECT part.p_partkey AS k, CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fk', v / 1e3) WHEN v >= 100 THEN printf('%.0f', v) ELSE printf('%.2f', v) END AS shown FROM (SELECT p_partkey, CAST(p_partkey * p_partkey AS DOUBLE) + 0.3 AS v FROM part) part")
 def number_format(spark, sf_dir):
     v = F.col("p_partkey").cast("bigint") * F.col("p_partkey").cast("bigint")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), T.short_number(v.cast("double") + 0.3).alias("shown"))
+
+
+# --- first rows, grids, families
+@query(f"WITH {_MERGES} SELECT step, pair_a, pair_b, freq FROM m WHERE step <= 50")
+def merge_first_steps(spark, sf_dir):
+    return traces.first_steps(word_merges(spark, sf_dir), 50)
+
+
+@query(f"WITH {EVENTS} SELECT variant, step, wall_ms FROM t ORDER BY step, variant LIMIT 10")
+def trace_head(spark, sf_dir):
+    return traces.head(event_trace(spark, sf_dir), 10).select("variant", "step", "wall_ms")
+
+
+@query(f"SELECT doc_id, array_to_string(list_slice({TOK.format('text')}, 1, 3), ' ') AS words FROM documents")
+def first_three_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.whitespace_tokens(F.col("text")), 1, 3), " ").alias("words"))
+
+
+@query(f"WITH {_MERGES}, x AS (SELECT *, length(pair_a) + length(pair_b) AS n, min(step) OVER () AS lo, max(step) OVER () AS hi FROM m), y AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE greatest(ceil((step - lo) * 10.0::DOUBLE / (hi - lo)) - 1, 0) END AS INT) AS bin, n, freq FROM x) SELECT bin, " + ", ".join(f'coalesce(round(avg(freq) FILTER (n = {k}), 6), 0.0) AS "{k}"' for k in range(1, 13)) + " FROM y GROUP BY bin")
+def heatmap_cut_grid(spark, sf_dir):
+    return traces.heatmap_grid(traces.heatmap_cut(word_merges(spark, sf_dir)), list(range(1, 13)))
+
+
+_FAMILY = "SELECT CASE WHEN user_id % 5 < 3 THEN 'OMP-' || (2 ** (user_id % 5))::INT || 't' ELSE 'MPI-' || (user_id % 5) || 'p' END AS variant, value FROM events"
+
+
+def _family(spark, sf_dir) -> DataFrame:
+    k = F.col("user_id") % 5
+    name = F.when(k < 3, F.concat(F.lit("OMP-"), F.pow(F.lit(2), k).cast("int").cast("string"), F.lit("t"))).otherwise(F.concat(F.lit("MPI-"), k.cast("string"), F.lit("p")))
+    return table(spark, sf_dir, "events").select(name.alias("variant"), F.col("value").alias("wall_ms"))
+
+
+@query(f"WITH e AS ({_FAMILY}), s AS (SELECT CAST(regexp_extract(variant, '[0-9]+') AS INT) AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total_ms FROM e WHERE variant LIKE 'OMP%' GROUP BY 1), f AS (SELECT * FROM s ORDER BY n LIMIT 1) SELECT s.n, round(f.total_ms / s.total_ms, 6) AS speedup, CAST(s.n AS DOUBLE) AS ideal, round(CAST(s.n AS DOUBLE) / f.n, 6) AS relative_ideal FROM s, f")
+def family_scaling(spark, sf_dir):
+    return traces.scaling(traces.family(_family(spark, sf_dir), "OMP"))
+
+
+# --- hashes and cells
+_BYTES = "[CAST(('0x' || b) AS HUGEINT) FOR b IN regexp_extract_all(hex(encode({0})), '..')]"
+_H31 = "list_reduce(list_prepend(CAST(5381 AS HUGEINT), {0}), lambda h, b: (h * 31 + b) % 18446744073709551616) % 4096"
+
+
+@query(f"WITH {W} SELECT word, CAST({_H31.format(_BYTES.format('word'))} AS BIGINT) AS h31, CAST({_H31.format(_BYTES.format(chr(34) + 'p' + chr(34)))} AS BIGINT) AS pair31, CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), {_BYTES.format('word')}), lambda h, b: (CAST(xor(CAST(h AS BIGINT), CAST(b AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296) AS BIGINT) AS fnv FROM (SELECT word, substr(word, 1, 1) || '#' || substr(word, 2) AS p FROM w)")
+def word_hashes(spark, sf_dir):
+    w = F.col("word")
+    pair = T.pair_times31(F.substring(w, 1, 1), F.expr("substring(word, 2)"), 4096)
+    return counts(spark, sf_dir).select("word", T.times31(w, 4096).alias("h31"), pair.alias("pair31"), T.fnv1a(w).alias("fnv"))
+
+
+_NUMBER = r"regexp_full_match(word, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')"
+
+
+@query(f"WITH {W} SELECT word AS cell, CASE WHEN {_NUMBER} THEN try_cast(word AS DOUBLE) END AS number, CASE WHEN NOT {_NUMBER} THEN word END AS text FROM w")
+def number_or_text_cells(spark, sf_dir):
+    number, text = T.number_or_text(F.col("word"))
+    return counts(spark, sf_dir).select(F.col("word").alias("cell"), number.alias("number"), text.alias("text"))
+
+
+# --- files: written and read again
+def _out(spark) -> str:
+    bpe.shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT x AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) GROUP BY x")
+def corpus_write_read(spark, sf_dir):
+    path = _out(spark)
+    files.write_corpus(table(spark, sf_dir, "benchmark"), path)
+    whole = files.read_corpus(spark, f"{path}/none", path)  # the first that is there
+    body = F.regexp_replace("text", "\n$", "")
+    return whole.where("text <> ''").select(F.explode(F.split(body, "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 2000 AS lines, CAST(40000 AS BIGINT) AS words, 30 AS distinct_words")
+def demo_corpus_counts(spark, sf_dir):
+    w = files.demo_corpus(spark, 2000).select("line", F.explode(F.split("text", " ")).alias("word"))
+    return w.agg(F.count_distinct("line").alias("lines"), F.count("*").alias("words"), F.count_distinct("word").alias("distinct_words"))
+
+
+_DEMO = "(VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(files.DEMO_PAIRS)) + ") p(k, pair_a, pair_b)"
+_CONFIG = "(VALUES " + ", ".join(f"('{v}', {b}::DOUBLE, {s}::DOUBLE)" for v, b, s in files.DEMO_VARIANTS) + ") c(variant, base, scale)"
+
+
+@query(f"""SELECT variant, CAST(step AS INT) AS step, pair_a, pair_b, true AS freq_fits, true AS time_fits,
+ CASE WHEN variant = 'Sequential' THEN CAST(floor(250.5 + list_sum([CASE WHEN i < 50 THEN 2.0 WHEN i < 150 THEN 1.0 ELSE 0.5 END FOR i IN range(1, step + 1)])) AS BIGINT) END AS vocab_size,
+ CASE WHEN variant = 'Sequential' THEN round(1 + step * 0.008::DOUBLE, 4) END AS avg_tok_len FROM range(1, 301) s(step), {_CONFIG}, {_DEMO} WHERE p.k = step % 30""")
+def demo_trace_columns(spark, sf_dir):
+    t = files.demo_traces(spark).join(F.broadcast(spark.createDataFrame(files.DEMO_VARIANTS, "variant string, base double, scale double")), "variant")
+    middle = F.col("base") * F.col("scale") + F.col("step") * 0.02
+    fits = F.col("freq").between(F.floor(2000 / F.ln(F.col("step") + 2.0)), F.ceil(2000 / F.ln(F.col("step") + 2.0)) + 200)
+    near = (F.col("wall_ms") >= 1) & (F.abs(F.col("wall_ms") - F.greatest(middle, F.lit(1.0))) <= F.col("base") * 0.15 + 0.001)
+    return t.select("variant", "step", "pair_a", "pair_b", fits.alias("freq_fits"), near.alias("time_fits"), "vocab_size", "avg_tok_len")
+
+
+@query(f"WITH {_MERGES} SELECT CAST(step AS INT) AS step, pair_a, pair_b, freq FROM m")
+def trace_csv_round_trip(spark, sf_dir):
+    path = _out(spark)
+    files.write_csv(word_merges(spark, sf_dir).select("step", "pair_a", "pair_b", "freq"), path)
+    return files.read_csv(spark, path, "step int, pair_a string, pair_b string, freq bigint")
+
+
+_NAMES = {"click": "seq_results", "error": "omp_2t", "purchase": "mpi_4p", "signup": "cuda_results", "view": "hybrid_2p"}
+_BECOME = {"click": "Sequential", "error": "OMP-2t", "purchase": "MPI-4p", "signup": "CUDA", "view": "Hybrid-2p"}
+
+
+@query(f"WITH {EVENTS} SELECT CASE variant " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _BECOME.items()) + " END AS variant, count(*) AS steps, CAST(sum(wall) AS DOUBLE) AS total_ms FROM t GROUP BY 1")
+def trace_folder_read(spark, sf_dir):
+    path, t = _out(spark), event_trace(spark, sf_dir)
+    for old in ("a_old", "b_new"):  # of one label the last by name counts
+        for variant, name in _NAMES.items():
+            files.write_csv(t.where(F.col("variant") == variant).select("step", F.col("wall_ms") if old == "b_new" else F.lit(0.0).alias("wall_ms")), f"{path}/{old}/{name}.csv")
+    return traces.variant_totals(files.read_traces(spark, path, "step int, wall_ms double")).select("variant", "steps", "total_ms")
+
+
+@query(ORACLES["efficiency_report"])
+def report_json_round_trip(spark, sf_dir):
+    path, report = _out(spark), efficiency_report(spark, sf_dir)
+    files.write_json(report, path)
+    return files.read_json(spark, path, report.schema)
+
+
+@query(ORACLES["trace_summary_percentiles"])
+def summary_csv_round_trip(spark, sf_dir):
+    path, made = _out(spark), trace_summary_percentiles(spark, sf_dir)
+    files.write_csv(made, path)
+    return files.read_csv(spark, path, made.schema)

@@ -35,12 +35,19 @@ def test_hashes(spark):
 
     for w in ("", "a", "hello", "Straße" * 9, "日本語" * 20):
         assert col(spark, w, T.djb2) == reference(w, 33, 5381, 100_003)
-        assert col(spark, w, lambda x: T.times31(x, 100_003)) == reference(w, 31, 0, 100_003)
+        assert col(spark, w, lambda x: T.times31(x, 100_003)) == reference(w, 31, 5381, 100_003)
         assert col(spark, w, T.fnv1a) == fnv(w)
+        assert col(spark, w, lambda x: T.pair_times31(x, F.lit("é"), 4096)) == reference(w + "#é", 31, 5381, 4096)
+
+
+def test_cells(spark):
+    cells = {"007": (7.0, None), " -1.5e2 ": (-150.0, None), "": (None, ""), "nan": (None, "nan"), "1,5": (None, "1,5"), ".5": (0.5, None), "x": (None, "x")}
+    for cell, wanted in cells.items():
+        assert (col(spark, cell, lambda x: T.number_or_text(x)[0]), col(spark, cell, lambda x: T.number_or_text(x)[1])) == wanted
 
 
 def test_labels(spark):
-    names = {"a/seq_results.csv": "Sequential", "omp_4t.csv": "OMP-4t", "omp.csv": "omp", "MPI_2p_x.csv": "MPI-2p", "hybrid_2p.csv": "Hybrid-2p", "hybrid.csv": "Hybrid", "cuda.csv": "CUDA", "x.csv": "x"}
+    names = {"a/seq_results.csv": "Sequential", "omp_4t.csv": "OMP-4t", "omp.csv": "omp", "MPI_2p_x.csv": "MPI-2p", "hybrid_2p.csv": "Hybrid-2p", "hybrid.csv": "Hybrid", "cuda.csv": "CUDA", "x.csv": "x", "d/omp_2t.csv/part-00000-c000.csv": "OMP-2t"}
     for name, label in names.items():
         assert col(spark, name, T.variant_label) == label
 

@@ -47,6 +47,25 @@ def test_csv_round_trip(spark, tmp_path):
     assert got == {"Sequential": "seq_2.csv", "CUDA": "cuda.csv"}
 
 
+def test_traces_as_written(spark, tmp_path):
+    """read_traces reads what write_csv makes; of one label the last folder counts; a missing time is 0."""
+    for name, value in (("seq_a", 1.0), ("seq_b", 2.0), ("omp_2t", None)):
+        files.write_csv(spark.createDataFrame([(k, value) for k in (1, 2)], "step int, wall_ms double").repartition(2), str(tmp_path / f"{name}.csv"))
+    got = files.read_traces(spark, str(tmp_path), "step int, wall_ms double")
+    assert sorted((r.variant, r.step, r.wall_ms) for r in got.collect()) == [("OMP-2t", 1, None), ("OMP-2t", 2, None), ("Sequential", 1, 2.0), ("Sequential", 2, 2.0)]
+    assert {r.variant: (r.total_ms, r.p50) for r in traces.summary(got, "Sequential").collect()} == {"OMP-2t": (0.0, 0.0), "Sequential": (4.0, 2.0)}
+    files.write_json(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j"), "a int, b string").first() == (1, "x")
+
+
+def test_numbered(spark):
+    rows = [(f"w{k}", k % 7) for k in range(500)]
+    got = traces.numbered(spark.createDataFrame(rows, "word string, freq int").repartition(5), F.desc("freq"), F.asc("word")).collect()
+    assert [r.word for r in sorted(got, key=lambda r: r.step)] == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert sorted(r.step for r in got) == list(range(1, 501))
+    assert traces.numbered(spark.createDataFrame([], "word string, freq int"), F.asc("word")).count() == 0
+
+
 def test_sources(spark, tmp_path):
     assert files.demo_corpus(spark, 5).select(F.size(F.split("text", " ")).alias("n")).first().n == 20
     assert files.demo_traces(spark).count() == 1800
