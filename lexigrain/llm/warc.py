@@ -40,7 +40,7 @@ EPOCH = "1970-01-01T00:00:00Z"
 #: Elements whose content isn't text, and elements that end a line.
 RAW = {"script", "style", "noscript", "template"}
 BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
-_NAME = re.compile(r"/?([A-Za-z!?][^\s/>]*)")
+_TAG = re.compile(r"<!--|<(/?)([A-Za-z!?][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"(?<![^\s=\"'>/])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -52,48 +52,47 @@ def record_id(response: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {response}')}>"
 
 
-def pieces(page: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) of a page from left to right: text, or tag with what stands between `<` and `>`.
+def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, slash, name, attributes) of a page from left to right: a text, or a tag with an empty text.
 
     Comments and the content of RAW elements are left out; without an end they run to the
-    end of the page.  A `<` that begins no tag is text.
+    end of the page.  A `<` that begins no tag is text.  Tags are sought up to the last
+    `>` only, and a search that found nothing isn't made again, so each step goes on.
     """
-    lower, at, n = page.lower(), 0, len(page)
-    if len(lower) != n:  # a character whose lower case is longer
-        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in page)
-    ends: dict[str, int] = {}
+    at, n, last = 0, len(page), page.rfind(">") + 1
+    lower, ends = "", {}
 
     def find(what: str, start: int) -> int:
-        """The next place of what; a search that found nothing, or a place ahead, isn't made again."""
+        nonlocal lower
+        if not lower:
+            lower = page.lower()
+            if len(lower) != n:  # a character whose lower case is longer
+                lower = "".join(x if len(x := c.lower()) == 1 else c for c in page)
         if what not in ends or -1 < ends[what] < start:
             ends[what] = lower.find(what, start)
         return ends[what]
 
     while at < n:
-        start = find("<", at)
-        if start < 0:
-            yield "text", page[at:]
+        m = _TAG.search(page, at, last) if at < last else None
+        if not m:
+            end = page.find("<!--", at)
+            yield page[at : end if end >= 0 else n], "", "", ""
             return
-        if start > at:
-            yield "text", page[at:start]
-        if page.startswith("<!--", start):
-            end = find("-->", start + 4)
+        if m.start() > at:
+            yield page[at : m.start()], "", "", ""
+        at = m.end()
+        if m[2] is None:
+            end = find("-->", at)
             at = n if end < 0 else end + 3
-            yield "text", " "
-            continue
-        end = find(">", start)
-        m = _NAME.match(page, start + 1, end) if end >= 0 else None
-        if not m:
-            yield "text", "<"
-            at = start + 1
+            yield " ", "", "", ""
             continue
-        yield "tag", page[start + 1 : end]
-        at, name = end + 1, m[1].lower()
-        if name in RAW and page[start + 1] != "/" and page[end - 1] != "/":
+        name = m[2].lower()
+        yield "", m[1], name, m[3]
+        if name in RAW and not m[1] and not m[3].endswith("/"):
             close = find(f"</{name}", at)
             end = find(">", close) if close >= 0 else -1
             at = n if end < 0 else end + 1
-            yield "text", " "
+            yield " ", "", "", ""
 
 
 def attribute(tag: str, name: str) -> str | None:
@@ -107,21 +106,20 @@ def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
     """Plain text, a line for each block; declared language; title; addresses of links."""
     out: list[str] = []
     lang, title, links, into_title = None, None, [], False
-    for kind, x in pieces(page):
-        if kind == "text":
-            out.append(" ".join(x.split()) if not x[:1].isspace() and not x[-1:].isspace() else f" {' '.join(x.split())} ")
+    for x, slash, name, attributes in pieces(page):
+        if x:
+            out.append(x.replace("\n", " "))
             if into_title:
                 title = (title or "") + x
             continue
-        name = _NAME.match(x)[1].lower()
         if name in BLOCKS:
             out.append("\n")
         if name == "title":
-            into_title = title is None and x[0] != "/"
+            into_title = title is None and not slash
             title = "" if into_title else title
         elif name == "html" and lang is None:
-            lang = attribute(x, "lang")
-        elif name == "a" and x[0] != "/" and (link := attribute(x, "href")) is not None:
+            lang = attribute(attributes, "lang")
+        elif name == "a" and not slash and (link := attribute(attributes, "href")) is not None:
             links.append(_one_line(link.strip()))
     text = "\n".join(x for x in (" ".join(entities.unescape(line).split()) for line in "".join(out).split("\n")) if x)
     return text, lang, None if title is None else " ".join(entities.unescape(title).split()), links
