@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_id, line_dedup, packing, ppm, quality, token_counts, warc
+from . import chat, decontaminate, divergence, jaccard, language_id, line_dedup, packing, periodic_runs, ppm, quality, token_counts, token_files, warc
+from .common import Scratch, let, sql_words
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -65,8 +66,44 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs whose text, for a tenth of the ids by crc32, repeats a part of itself up to the end, as the contract says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    text = F.when((h % 10 == 0) & F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), let(sql_words(F.col("text")), planted)).otherwise(F.col("text"))
+    return docs.withColumn("text", text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    made = made.withColumn("best", best)
+    return made.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).dir}/tokens"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_warc, op7_lm_scoring, op8_language_id, op9_chat_formatting, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_warc, op7_lm_scoring, op8_language_id, op9_chat_formatting, op10_ngram_jaccard, op11_source_divergence, op12_periodic_runs, op13_token_files)
 }
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +177,40 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM walk GROUP BY x) c ON c.x = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op9_chat_formatting": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT lang, source, t, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+k AS MATERIALIZED (SELECT lang, t, sum(n) AS n FROM o GROUP BY 1, 2 HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT g.lang, g.source, k.t, coalesce(o.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.t = k.t),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT c.lang, c.source, c.t, c.n, 1 + CAST(1000000000 AS HUGEINT) * (c.n + 1) // (s.total + v.v) AS p FROM c JOIN s USING (lang, source) JOIN v USING (lang)),
+q AS (SELECT k.lang, k.t, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (v.total + v.v) AS q FROM k JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+term AS (SELECT lang, source, t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+x AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 200
+"""
+
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(('0x' || b) AS BIGINT) FOR b IN regexp_extract_all(hex(encode({0})), '..')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w, {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END FOR i IN range(n)] END AS w FROM a),
+u AS MATERIALIZED (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM t),
+z AS (SELECT b.r, b.i, c.i - b.i AS q FROM u b JOIN u c ON b.r = c.r AND b.x = c.x AND c.i > b.i AND (c.i - b.i) * 4 <= b.n),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM z) GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+m AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+one AS (SELECT r, count(*) AS n_runs, max(row(length, -start, -period)) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM m GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM m),
+kept AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.i) AS words FROM u LEFT JOIN gone ON gone.r = u.r AND gone.i = u.i WHERE gone.i IS NULL GROUP BY u.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-b[2] AS BIGINT) AS start, CAST(b[1] AS BIGINT) AS length, CAST(-b[3] AS BIGINT) AS period,
+       CAST(b[1] * 1000 // -b[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM t LEFT JOIN one USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op11_source_divergence": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op9_chat_formatting": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
