@@ -34,8 +34,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,8 @@ class ByteIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as the machine has them, which must be 32 bits, little-endian")
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -88,54 +94,63 @@ class ByteIds:
         self.line_end = self._encoded(["\n"])[0]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, text: str) -> bytes:
         """Ids of letters with or without a space before them."""
         shown = text.replace(" ", self.visible[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word with the space before it, or of one marked _BARE without; None if it isn't one word."""
-        text = word[1:] if word[:1] == _BARE else " " + word
-        if len(text) - (text[:1] == " ") == 0 or _HAS_WHITE(text, 1):
-            return None if word != "\n" else self.line_end
-        core = text[1:] if text[0] == " " else text
-        if core.isalpha():
-            return self._letters(text)
-        if core[-1] in self.end_marks and core[:-1].isalpha():
-            if (ids := self.known.get(word[:-1])) is None:
-                ids = self.known[word[:-1]] = self._letters(text[:-1])
-            return ids + self.end_marks[core[-1]]
-        return self._encoded([text])[0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _words(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of words with the space before them, or of those marked _BARE without; None for what isn't one word."""
+        out: dict[str, bytes | None] = {}
+        rest: list[tuple[str, str]] = []
+        for word in words:
+            bare = word[:1] == _BARE
+            core, mark = (word[1:] if bare else word), b""
+            if core[-1:] in self.end_marks and core[:-1].isalpha():
+                core, mark = core[:-1], self.end_marks[core[-1]]
+            if core.isalpha():
+                out[word] = self._letters(core if bare else f" {core}") + mark
+            elif word == "\n":
+                out[word] = self.line_end
+            elif not core or _HAS_WHITE(core):
+                out[word] = None
+            else:
+                rest.append((word, core if bare else f" {core}"))
+        out.update(zip((w for w, _ in rest), self._encoded([t for _, t in rest]), strict=True))
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.size > CACHE:
             self.known, self.older, self.size = {}, self.known, 0
-        known = self.known
-        cut = [f"{_BARE}{t}".replace("\n", f" \n {_BARE}").split(" ") if t and _BARE not in t and not any(m in t for m in self.marks) else [] for t in texts]
-        new = set().union(*cut).difference(known)
-        long, odd = [], set()
-        for word in new:
-            ids = self.older.get(word) or self._word(word)
+        marked = [bool(t) and any(m in t for m in self.marks) for t in texts]
+        cut = [f"{_BARE}{t}".replace("\n", f" \n {_BARE}").split(" ") if t and not m and _BARE not in t else [] for t, m in zip(texts, marked, strict=True)]
+        words = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, words))
+        places = list(compress(count(), map(not_, found)))
+        missing = {words[i] for i in places}
+        fresh = {w: ids for w, ids in zip(missing, map(self.older.get, missing), strict=True) if ids}
+        fresh.update(self._words(missing - fresh.keys()))
+        odd = set()
+        for word, ids in fresh.items():
             if ids is None:
                 odd.add(word)
+            elif len(word) <= LONGEST:
+                self.known[word] = ids
+                self.size += len(word) + len(ids) + 190
+        for i in places:
+            found[i] = fresh[words[i]]
+        out, at = [], 0
+        for text, mark, mine in zip(texts, marked, cut, strict=True):
+            if mine and (not odd or odd.isdisjoint(mine)):
+                out.append(b"".join(found[at : at + len(mine)]))
+            elif mark or not text:
+                out.append(self._encoded([text or ""])[0])
             else:
-                known[word] = ids
-                self.size += 2 * len(word) + 250
-                if len(word) > LONGEST:
-                    long.append(word)
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words and (not odd or odd.isdisjoint(words)):
-                out.append(b"".join(map(known.__getitem__, words)))
-            elif text and not any(m in text for m in self.marks):
                 out.append(b"".join(self._encoded(_RUNS(text))))
-            else:
-                out.append(self._encoded([text or ""])[0])
-        for word in long:
-            del known[word]
+            at += len(mine)
         return out
 
 
