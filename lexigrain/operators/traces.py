@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.text import variant_number
-from lexigrain.operators.bpe import shared_checkpoints
+from lexigrain.operators import scans, selection
 
 WALL = "decimal(18,6)"
 
@@ -19,28 +19,29 @@ def wall() -> Column:
     return F.coalesce(F.col("wall_ms").cast(WALL), F.lit(0).cast(WALL))
 
 
-def by_step() -> Window:
-    return Window.partitionBy("variant").orderBy("step")
+def in_steps(trace: DataFrame) -> DataFrame:
+    """The trace in blocks of steps: a variant may span many tasks."""
+    return scans.blocks(trace, ["variant"], [F.col("step")])
 
 
 def cumulative(trace: DataFrame, digits: int = 6) -> DataFrame:
     """Seconds so far, by variant."""
-    total = F.sum(wall()).over(by_step().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return trace.select("variant", "step", F.round(total.cast("double") / 1000, digits).alias("cum_s"))
+    run = scans.running(in_steps(trace), ["variant"], wall(), "total")
+    return run.select("variant", "step", F.round(F.col("total").cast("double") / 1000, digits).alias("cum_s"))
 
 
 def rolling(trace: DataFrame, rows: int = 20, column: str = "wall_ms") -> DataFrame:
     """Mean of the last rows, fewer at the start."""
-    w = by_step().rowsBetween(1 - rows, 0)
-    return trace.select("variant", "step", F.round(F.sum(F.col(column).cast(WALL)).over(w).cast("double") / F.count(column).over(w), 6).alias("rolling"))
+    made = scans.last_rows(in_steps(trace), ["variant"], rows, total=lambda w: F.sum(F.col(column).cast(WALL)).over(w), times=lambda w: F.count(column).over(w))
+    return made.select("variant", "step", F.round(F.col("total").cast("double") / F.nullif("times", F.lit(0)), 6).alias("rolling"))
 
 
 def rolling_share(trace: DataFrame, share: int = 20) -> DataFrame:
     """rolling() over max(1, rows of the variant // share) rows: running sums that far apart."""
-    whole = Window.partitionBy("variant")
-    run = trace.withColumn("n", F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / share).cast("int"))).withColumn("i", F.row_number().over(by_step())).withColumn("total", F.sum(wall()).over(by_step().rowsBetween(Window.unboundedPreceding, 0)))
-    before = run.select("variant", (F.col("i") + F.col("n")).alias("i"), F.col("total").alias("earlier"))
-    out = run.join(before, ["variant", "i"], "left")
+    sizes = trace.groupBy("variant").agg(F.greatest(F.lit(1), F.floor(F.count("*") / share)).alias("n"))
+    run = scans.running(in_steps(trace), ["variant"], wall(), "total").withColumnRenamed("__n", "i").join(sizes, "variant")
+    earlier = run.select("variant", (F.col("i") + F.col("n")).alias("i"), F.col("total").alias("earlier"))
+    out = run.join(earlier, ["variant", "i"], "left")
     return out.select("variant", "step", F.round((F.col("total") - F.coalesce("earlier", F.lit(0).cast(WALL))).cast("double") / F.least("i", "n"), 6).alias("rolling"))
 
 
@@ -55,23 +56,29 @@ def speedups(trace: DataFrame, baseline: str) -> DataFrame:
     return t.crossJoin(F.broadcast(base)).select("variant", F.round(F.col("base_ms") / F.nullif("total_ms", F.lit(0.0)), 6).alias("speedup")).orderBy("speedup", "variant")
 
 
+def percentiles(trace: DataFrame, **shares: float) -> DataFrame:
+    """variant and, for each name and share p, the value at index floor(n * p) of the sorted ones, missing ones as 0."""
+    timed = trace.select("variant", F.coalesce("wall_ms", F.lit(0.0)).alias("wall_ms"))
+    found = selection.select_places(timed, selection.nearest_places(timed, shares, "variant"), "variant", "wall_ms")
+    return selection.as_columns(found, "variant", "wall_ms", list(shares))
+
+
 def nearest(trace: DataFrame, p: float, name: str) -> DataFrame:
-    """(variant, name): the value at index floor(n * p) of the sorted ones, missing ones as 0."""
-    w = Window.partitionBy("variant")
-    ranked = trace.select("variant", F.coalesce("wall_ms", F.lit(0.0)).alias("wall_ms")).select("variant", "wall_ms", F.row_number().over(w.orderBy("wall_ms")).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") - 1 == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select("variant", F.col("wall_ms").alias(name))
+    return percentiles(trace, **{name: p})
 
 
 def summary(trace: DataFrame, baseline: str) -> DataFrame:
     """Steps, total, mean, P50, P95 and speedup (1 without the baseline) by variant."""
     t = variant_totals(trace)
     base = t.agg(F.max(F.when(F.col("variant") == baseline, F.col("total_ms"))).alias("base_ms"))
-    out = t.join(nearest(trace, 0.5, "p50"), "variant").join(nearest(trace, 0.95, "p95"), "variant").crossJoin(F.broadcast(base))
+    out = t.join(percentiles(trace, p50=0.5, p95=0.95), "variant").crossJoin(F.broadcast(base))
     return out.select("variant", "steps", F.round("total_ms", 6).alias("total_ms"), F.round("mean_ms", 6).alias("mean_ms"), "p50", "p95", F.round(F.coalesce(F.col("base_ms") / F.nullif("total_ms", F.lit(0.0)), F.lit(1.0)), 6).alias("speedup"))
 
 
 def medians(trace: DataFrame) -> DataFrame:
-    return trace.groupBy("variant").agg(F.round(F.median("wall_ms"), 6).alias("median_ms"))
+    """The mean of a variant's two middle times; null without a time."""
+    middle = selection.medians(trace, "variant", "wall_ms")
+    return trace.select("variant").distinct().join(middle, "variant", "left").select("variant", F.round("median", 6).alias("median_ms"))
 
 
 def step_speedup(pairs: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def scaling(totals: DataFrame) -> DataFrame:
 
 def by_position(trace: DataFrame, variants: list[str], column: str = "wall_ms") -> DataFrame:
     """Variants side by side by row position."""
-    placed = trace.withColumn("position", F.row_number().over(by_step()))
+    placed = scans.numbered(trace, [F.col("step")], "position", ["variant"])
     return placed.groupBy("position").pivot("variant", variants).agg(F.max(column))
 
 
@@ -121,18 +128,8 @@ def family(trace: DataFrame, prefix: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: Column, name: str = "step", parts: int | None = None) -> DataFrame:
-    """rows with their place, from 1, in the order: sorted by range, and each part begins where those before it end.
-
-    Only the parts' sizes, one row each, meet in one place.
-    """
-    spark = rows.sparkSession
-    shared_checkpoints(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part_of": F.spark_partition_id(), "place_of": F.monotonically_increasing_id()}).checkpoint()
-    sizes = placed.groupBy("part_of").agg(F.count("*").alias("n"), F.min("place_of").alias("low")).withColumnRenamed("part_of", "of")
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = placed.join(F.broadcast(starts), placed.part_of == starts.of)
-    return joined.withColumn(name, F.col("before") + F.col("place_of") - F.col("low") + 1).drop("part_of", "place_of", "of", "n", "low", "before")
+    """rows with their place, from 1, in the order."""
+    return scans.numbered(rows, order, name, parts=parts)
 
 
 def bottom_merges(merges: DataFrame, n: int = 10) -> DataFrame:
@@ -176,12 +173,14 @@ def tiles(trace: DataFrame, baseline: str) -> DataFrame:
     return t.agg(F.coalesce(F.max("steps"), F.lit(0)).alias("total_merges"), F.count("*").alias("variants")).crossJoin(F.broadcast(best)).select("total_merges", "variants", F.coalesce("b.speedup", F.lit(1.0)).alias("max_speedup"), F.coalesce("b.variant", F.lit("-")).alias("fastest"))
 
 
-def efficiency(log: DataFrame, words: int, block: int = 256) -> DataFrame:
-    """Report of (t_seq_ms, t_par_ms) steps: totals, speedup, efficiency over padded threads, merges a second."""
-    threads = -(-words // block) * block
+def efficiency(log: DataFrame, counts: DataFrame, block: int = 256) -> DataFrame:
+    """Report of (t_seq_ms, t_par_ms) steps over a vocabulary: totals, speedup, merges a second, and
+    efficiency over one worker a word, words padded to whole blocks."""
+    words = counts.agg(F.count("*").alias("unique_words"))
     sums = log.agg(F.count("*").alias("num_merges"), F.coalesce(F.sum(F.col("t_seq_ms").cast(WALL)), F.lit(0)).cast("double").alias("seq"), F.coalesce(F.sum(F.col("t_par_ms").cast(WALL)), F.lit(0)).cast("double").alias("par"))
+    sums = sums.crossJoin(F.broadcast(words)).withColumn("threads", F.ceil(F.col("unique_words") / block) * block)  # one row each
     speedup = F.col("seq") / F.nullif("par", F.lit(0.0))
-    return sums.select("num_merges", F.lit(words).cast("bigint").alias("unique_words"), F.lit(threads).cast("bigint").alias("threads"), F.round(F.col("seq") / 1000, 6).alias("total_seq_s"), F.round(F.col("par") / 1000, 6).alias("total_par_s"), F.round(speedup, 6).alias("speedup"), F.round(speedup * 100 / F.nullif(F.lit(float(threads)), F.lit(0.0)), 6).alias("efficiency_percent"), F.round(F.col("num_merges") * 1000 / F.nullif("seq", F.lit(0.0)), 6).alias("seq_throughput"), F.round(F.col("num_merges") * 1000 / F.nullif("par", F.lit(0.0)), 6).alias("par_throughput"))
+    return sums.select("num_merges", "unique_words", F.col("threads").cast("bigint").alias("threads"), F.round(F.col("seq") / 1000, 6).alias("total_seq_s"), F.round(F.col("par") / 1000, 6).alias("total_par_s"), F.round(speedup, 6).alias("speedup"), F.round(speedup * 100 / F.nullif(F.col("threads").cast("double"), F.lit(0.0)), 6).alias("efficiency_percent"), F.round(F.col("num_merges") * 1000 / F.nullif("seq", F.lit(0.0)), 6).alias("seq_throughput"), F.round(F.col("num_merges") * 1000 / F.nullif("par", F.lit(0.0)), 6).alias("par_throughput"))
 
 
 def progress(trace: DataFrame, every: int = 100, first: int = 0) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.functions import text as T
-from lexigrain.operators import bpe, traces, words
+from lexigrain.functions.ranks import encode_words
+from lexigrain.operators import bpe, engines, scans, traces, words
+from lexigrain.operators.bpe_index import Training
+from lexigrain.operators.shared import Folder
+from lexigrain.operators.word_store import WordStore
 from lexigrain.sources import files
 
 MERGES = 10
@@ -37,30 +40,41 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_count(table(spark, sf_dir, "documents"))
 
 
-_models: dict[tuple[str, str], tuple[list[tuple], DataFrame]] = {}
+_models: dict[tuple[str, str, int], tuple[list[tuple], DataFrame]] = {}
 
 
-def model(spark: SparkSession, sf_dir: str) -> tuple[list[tuple], DataFrame]:
+def model(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> tuple[list[tuple], DataFrame]:
     """(trace rows, final vocabulary), trained once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, merges)
     if key not in _models:
-        trace, vocab = bpe.train(counts(spark, sf_dir), MERGES)
-        _models[key] = ([tuple(r) for r in trace.orderBy("step").collect()], vocab.checkpoint())
+        folder = Folder(spark)
+        w = folder.save(counts(spark, sf_dir), "counts")
+        training = Training(w, stats=True)
+        trace = [tuple(r) for r in training.run(merges).collect()]
+        wrapped = F.concat(F.lit(T.OPEN), F.array_join("tokens", T.CLOSE + T.OPEN), F.lit(T.CLOSE))
+        _models[key] = (trace, folder.save(encode_words(w, training.merges).select("word", "freq", wrapped.alias("s")), "vocabulary"))
     return _models[key]
 
 
-def rules(spark: SparkSession, sf_dir: str) -> list[bpe.Merge]:
-    return [(r[1], r[2]) for r in model(spark, sf_dir)[0]]
+def rules(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> list[bpe.Merge]:
+    return [(r[1], r[2]) for r in model(spark, sf_dir, merges)[0]]
+
+
+def merge_table(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> DataFrame:
+    return spark.createDataFrame([r[:4] for r in model(spark, sf_dir, merges)[0]], "step int, pair_a string, pair_b string, freq bigint")
 
 
-def merge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:4] for r in model(spark, sf_dir)[0]], "step int, pair_a string, pair_b string, freq bigint")
+_traces: dict[tuple[str, str], DataFrame] = {}
 
 
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a trace: variant event_type, step by event_id, wall_ms value."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), "event_id", F.col("value").alias("wall_ms"))
-    return e.select("variant", F.row_number().over(traces.Window.partitionBy("variant").orderBy("event_id")).alias("step"), "wall_ms", "event_id")
+    """Events as a trace: variant event_type, step by event_id, wall_ms value; numbered once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _traces:
+        e = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), "event_id", F.col("value").alias("wall_ms"))
+        numbered = scans.numbered(e, [F.col("event_id")], "step", ["variant"])
+        _traces[key] = Folder(spark).save(numbered.select("variant", F.col("step").cast("int").alias("step"), "wall_ms", "event_id"), "trace")
+    return _traces[key]
 
 
 # --- SQL pieces
@@ -102,6 +116,9 @@ def rules_from(merges: int = MERGES) -> str:
 
 TRAIN = training_sql()
 SHOW = "replace(substr({0}, 2, length({0}) - 2), chr(2) || chr(1), ' ')"
+#: Merges of the longer trainings.
+MANY = 50
+TRAIN_MANY = training_sql(MANY)
 N_SYMBOLS = "(length({0}) - length(replace({0}, chr(1), '')))"
 
 
@@ -159,6 +176,32 @@ def char_symbols(spark, sf_dir):
     return counts(spark, sf_dir).select("word", F.array_join(T.symbols(F.col("word")), " ").alias("symbols"))
 
 
+@query(f"WITH {W} SELECT word, freq FROM w")
+def word_count_merged(spark, sf_dir):
+    """Counts of three sets of documents, two of them folded into one, together those of all."""
+    store, docs = WordStore(spark), table(spark, sf_dir, "documents")
+    for k in range(3):
+        store.add(f"part{k}", docs.where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == k))
+    store.fold("old", "part0", "part1")
+    return store.counts()
+
+
+@query(f"WITH {W} SELECT word, freq FROM w")
+def long_line_word_count(spark, sf_dir):
+    """Documents written as files of one line each, and read in stretches of it."""
+    path = _out(spark)
+    flat = F.translate("text", "\t\n\x0b\x0c\r", "     ")
+    table(spark, sf_dir, "documents").select(flat.alias("text")).where("text is not null").write.option("lineSep", " ").text(path)
+    return words.word_count(files.read_stretches(spark, path))
+
+
+@query(f"WITH {W} SELECT CAST(sum(freq) AS BIGINT) AS total_tokens, count(*) AS unique_tokens, true AS timed FROM w")
+def word_throughput_measured(spark, sf_dir):
+    made = words.measured_throughput(table(spark, sf_dir, "documents"))
+    consistent = F.abs(F.col("tokens_per_second") * F.col("seconds") - F.col("total_tokens")) < 1
+    return made.select("total_tokens", "unique_tokens", ((F.col("seconds") > 0) & consistent).alias("timed"))
+
+
 # --- byte pair encoding
 @query(f"WITH {W}, v0 AS (SELECT freq, {WRAP.format('word')} AS s FROM w) SELECT l AS \"left\", r AS \"right\", freq FROM ({pairs_sql('v0')})")
 def pair_counts(spark, sf_dir):
@@ -181,12 +224,41 @@ def bpe_train_10(spark, sf_dir):
     return merge_table(spark, sf_dir)
 
 
-_STATS = " UNION ALL ".join(f"SELECT {k} AS step, count(DISTINCT x) AS vocab_size, CAST(sum(strlen(x)) AS DOUBLE) / count(*) AS avg_tok_len FROM (SELECT unnest({ARR}) AS x FROM v{k})" for k in range(1, 4))
+@query(f"{TRAIN_MANY} SELECT step, l AS pair_a, r AS pair_b, freq FROM m")
+def bpe_train_50(spark, sf_dir):
+    return merge_table(spark, sf_dir, MANY)
+
+
+@query(f"{TRAIN} SELECT step, l AS pair_a, r AS pair_b, freq FROM m")
+def bpe_train_resumed(spark, sf_dir):
+    path = _out(spark)
+    Training(counts(spark, sf_dir), path).run(MERGES // 2)
+    nothing = spark.createDataFrame([], "word string, freq bigint")  # what the state needs is in the folder
+    return Training(nothing, path).run(MERGES).select("step", "pair_a", "pair_b", "freq")
+
+
+@query(f"{TRAIN_MANY} SELECT word, {SHOW.format('s')} AS tokens FROM v{MANY}")
+def bpe_rank_encode_50(spark, sf_dir):
+    encoded = encode_words(counts(spark, sf_dir), rules(spark, sf_dir, MANY))
+    return encoded.select("word", F.array_join("tokens", " ").alias("tokens"))
+
+
+def stats_sql(merges: int) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS step, count(DISTINCT x) AS vocab_size, CAST(sum(strlen(x)) AS DOUBLE) / count(*) AS avg_tok_len FROM (SELECT unnest({ARR}) AS x FROM v{k})" for k in range(1, merges + 1))
+
+
+_STATS = stats_sql(3)
+
+
+@query(f"{TRAIN_MANY}, st AS ({stats_sql(MANY)}) SELECT step, l AS pair_a, r AS pair_b, freq, vocab_size, round(avg_tok_len, 9) AS avg_tok_len FROM m JOIN st USING (step)")
+def bpe_trace_stats_50(spark, sf_dir):
+    rows = [(*r[:4], r[5], round(r[6], 9)) for r in model(spark, sf_dir, MANY)[0]]
+    return spark.createDataFrame(rows, "step int, pair_a string, pair_b string, freq bigint, vocab_size bigint, avg_tok_len double")
 
 
 @query(f"{training_sql(3)}, st AS ({_STATS}) SELECT step, l AS pair_a, r AS pair_b, freq, vocab_size, round(avg_tok_len, 9) AS avg_tok_len FROM m JOIN st USING (step)")
 def bpe_trace_stats(spark, sf_dir):
-    trace, _ = bpe.train(counts(spark, sf_dir), 3, stats=True)
+    trace = Training(counts(spark, sf_dir), stats=True).run(3)
     return trace.select("step", "pair_a", "pair_b", "freq", "vocab_size", F.round("avg_tok_len", 9).alias("avg_tok_len"))
 
 
@@ -308,10 +380,39 @@ def trace_step_speedup(spark, sf_dir):
     return traces.step_speedup(_paired(spark, sf_dir))
 
 
-@query(f"""WITH {_PAIRED}, e AS (SELECT count(*) AS n, CAST(sum(CAST(t_seq AS DECIMAL(18, 6))) AS DOUBLE) AS a, CAST(sum(CAST(t_par AS DECIMAL(18, 6))) AS DOUBLE) AS b FROM p)
- SELECT n AS num_merges, CAST(10000 AS BIGINT) AS unique_words, CAST(10240 AS BIGINT) AS threads, round(a / 1000, 6) AS total_seq_s, round(b / 1000, 6) AS total_par_s, round(a / b, 6) AS speedup, round(a / b * 100 / 10240, 6) AS efficiency_percent, round(n * 1000 / a, 6) AS seq_throughput, round(n * 1000 / b, 6) AS par_throughput FROM e""")
+@query(f"""WITH {W}, {_PAIRED}, e AS (SELECT count(*) AS n, CAST(sum(CAST(t_seq AS DECIMAL(18, 6))) AS DOUBLE) AS a, CAST(sum(CAST(t_par AS DECIMAL(18, 6))) AS DOUBLE) AS b FROM p), u AS (SELECT count(*) AS unique_words, CAST(ceil(count(*) / 256.0) * 256 AS BIGINT) AS threads FROM w)
+ SELECT n AS num_merges, unique_words, threads, round(a / 1000, 6) AS total_seq_s, round(b / 1000, 6) AS total_par_s, round(a / b, 6) AS speedup, round(a / b * 100 / CAST(threads AS DOUBLE), 6) AS efficiency_percent, round(n * 1000 / a, 6) AS seq_throughput, round(n * 1000 / b, 6) AS par_throughput FROM e, u""")
 def efficiency_report(spark, sf_dir):
-    return traces.efficiency(_paired(spark, sf_dir).select(F.col("t_seq").alias("t_seq_ms"), F.col("t_par").alias("t_par_ms")), 10_000)
+    log = _paired(spark, sf_dir).select(F.col("t_seq").alias("t_seq_ms"), F.col("t_par").alias("t_par_ms"))
+    return traces.efficiency(log, counts(spark, sf_dir))
+
+
+_COMPARED = 5
+_logs: dict[tuple[str, str], DataFrame] = {}
+
+
+def engine_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of both training engines, written as CSV and read again; made once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _logs:
+        path = _out(spark)
+        files.write_csv(engines.compare(counts(spark, sf_dir), _COMPARED), path)
+        _logs[key] = files.read_csv(spark, path, engines.LOG)
+    return _logs[key]
+
+
+@query(f"{training_sql(_COMPARED)} SELECT step AS iter, l AS \"left\", r AS \"right\", freq AS pair_count, true AS timed FROM m")
+def engine_comparison(spark, sf_dir):
+    timed = (F.col("t_seq_ms") > 0) & (F.col("t_par_ms") > 0) & (F.abs(F.col("speedup") * F.col("t_par_ms") - F.col("t_seq_ms")) < 0.01)
+    return engine_log(spark, sf_dir).select("iter", "left", "right", "pair_count", timed.alias("timed"))
+
+
+@query(f"WITH {W} SELECT {_COMPARED} AS num_merges, count(*) AS unique_words, CAST(ceil(count(*) / 256.0) * 256 AS BIGINT) AS threads, true AS consistent FROM w")
+def engine_efficiency(spark, sf_dir):
+    made = traces.efficiency(engine_log(spark, sf_dir), counts(spark, sf_dir))
+    near = lambda a, b: F.abs(a - b) <= 0.01 * F.abs(b) + 1e-5
+    consistent = near(F.col("speedup"), F.col("total_seq_s") / F.col("total_par_s")) & near(F.col("efficiency_percent"), F.col("speedup") * 100 / F.col("threads"))
+    return made.select(F.col("num_merges").cast("int").alias("num_merges"), "unique_words", "threads", consistent.alias("consistent"))
 
 
 @query("WITH s AS (SELECT user_id % 4 + 1 AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total_ms FROM events GROUP BY 1), f AS (SELECT * FROM s ORDER BY n LIMIT 1) SELECT s.n, round(f.total_ms / s.total_ms, 6) AS speedup, CAST(s.n AS DOUBLE) AS ideal, round(CAST(s.n AS DOUBLE) / f.n, 6) AS relative_ideal FROM s, f")
@@ -471,8 +572,8 @@ def number_or_text_cells(spark, sf_dir):
 
 # --- files: written and read again
 def _out(spark) -> str:
-    bpe.shared_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    """A new path in a shared folder that goes when the session ends."""
+    return f"{Folder(spark).path}/files"
 
 
 @query("SELECT x AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) GROUP BY x")
