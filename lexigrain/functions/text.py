@@ -14,12 +14,12 @@ NOT_SPACE = "[^ \\t\\n\\x0B\\f\\r]"
 
 def whitespace_tokens(text: Column, max_len: int = 99) -> Column:
     """Runs of other than C white space, longer ones in pieces of max_len code points."""
-    return F.regexp_extract_all(text, F.lit(f"({NOT_SPACE}{{1,{max_len}}})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}{{1,{max_len}}}"), F.lit(0))
 
 
 def alpha_lower_tokens(text: Column) -> Column:
     """Runs of ASCII letters, `<`, `>`, `_` and `-`, lower-cased after they are cut."""
-    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z<>_-]+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z<>_-]+"), F.lit(0)), F.lower)
 
 
 def symbols(word: Column) -> Column:

@@ -485,27 +485,32 @@ def heatmap_floor(spark, sf_dir):
     return traces.heatmap_floor(word_merges(spark, sf_dir))
 
 
-FILES = ["out/seq_results.csv", "omp_8t.csv", "mpi_4p_results.csv", "cuda_results.csv", "hybrid_2p.csv", "hybrid.csv", "other.csv", "notes.txt", "OMP_2t.CSV"]
-_FILES = "x AS (SELECT file, regexp_extract(file, '[^/]*$') AS name, lower(regexp_extract(file, '[^/]*$')) AS low FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") v(file))"
-_LABELS = """l AS (SELECT file, CASE WHEN contains(low, 'seq') THEN 'Sequential'
+# file names made of events: every kind of name, a folder before it or not, in either case
+_MADE = """CASE event_id % 9 WHEN 0 THEN 'seq_' || user_id WHEN 1 THEN 'omp_' || user_id || 't' WHEN 2 THEN 'mpi_run' || user_id || 'p_' || event_type
+ WHEN 3 THEN 'cuda_' || event_type WHEN 4 THEN 'hybrid_' || user_id || 'p' WHEN 5 THEN 'hybrid_' || event_type WHEN 6 THEN event_type || user_id
+ WHEN 7 THEN 'OMP-' || event_type || user_id || 'T' ELSE 'x.csv' || user_id END"""
+_NAMED = f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'out/' || event_type || '/' ELSE '' END || {_MADE} || CASE WHEN event_id % 5 = 0 THEN '.txt' WHEN event_id % 7 = 0 THEN '.CSV' ELSE '.csv' END AS file FROM events"""
+_FILES = f"x AS (SELECT event_id, file, regexp_extract(file, '[^/]*$') AS name, lower(regexp_extract(file, '[^/]*$')) AS low FROM ({_NAMED}))"
+_LABELS = """l AS (SELECT event_id, file, CASE WHEN contains(low, 'seq') THEN 'Sequential'
  WHEN contains(low, 'hybrid') THEN CASE WHEN regexp_matches(low, '[0-9]+p') THEN 'Hybrid-' || regexp_extract(low, '([0-9]+)p', 1) || 'p' ELSE 'Hybrid' END
  WHEN contains(low, 'cuda') THEN 'CUDA' WHEN regexp_matches(low, 'omp.*?[0-9]+t') THEN 'OMP-' || regexp_extract(low, 'omp.*?([0-9]+)t', 1) || 't'
  WHEN regexp_matches(low, 'mpi.*?[0-9]+p') THEN 'MPI-' || regexp_extract(low, 'mpi.*?([0-9]+)p', 1) || 'p' ELSE replace(name, '.csv', '') END AS label FROM x)"""
 
 
-def _files(spark) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in FILES], "file string")
+def _files(spark, sf_dir) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("lexigrain_events")
+    return spark.sql(_NAMED.replace("FROM events", "FROM lexigrain_events"))
 
 
-@query(f"WITH {_FILES}, {_LABELS} SELECT file, label, CASE WHEN lower(label) LIKE '%seq%' THEN 'seq' WHEN lower(label) LIKE '%omp%' THEN 'omp' WHEN lower(label) LIKE '%hybrid%' THEN 'hybrid' WHEN lower(label) LIKE '%cuda%' THEN 'cuda' WHEN lower(label) LIKE '%mpi%' THEN 'mpi' ELSE 'seq' END AS class FROM l")
+@query(f"WITH {_FILES}, {_LABELS} SELECT event_id, file, label, CASE WHEN lower(label) LIKE '%seq%' THEN 'seq' WHEN lower(label) LIKE '%omp%' THEN 'omp' WHEN lower(label) LIKE '%hybrid%' THEN 'hybrid' WHEN lower(label) LIKE '%cuda%' THEN 'cuda' WHEN lower(label) LIKE '%mpi%' THEN 'mpi' ELSE 'seq' END AS class FROM l")
 def label_inference(spark, sf_dir):
-    f = _files(spark).withColumn("label", T.variant_label(F.col("file")))
+    f = _files(spark, sf_dir).withColumn("label", T.variant_label(F.col("file")))
     return f.withColumn("class", T.variant_class(F.col("label")))
 
 
-@query(f"WITH {_FILES} SELECT file FROM x WHERE lower(file) LIKE '%.csv'")
+@query(f"WITH {_FILES} SELECT event_id, file FROM x WHERE lower(file) LIKE '%.csv'")
 def csv_file_names(spark, sf_dir):
-    return files.only_csv(_files(spark), "file")
+    return files.only_csv(_files(spark, sf_dir), "file")
 
 
 @query("SELECT part.p_partkey AS k, CASE WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fk', v / 1e3) WHEN v >= 100 THEN printf('%.0f', v) ELSE printf('%.2f', v) END AS shown FROM (SELECT p_partkey, CAST(p_partkey * p_partkey AS DOUBLE) + 0.3 AS v FROM part) part")
@@ -585,25 +590,35 @@ def corpus_write_read(spark, sf_dir):
     return whole.where("text <> ''").select(F.explode(F.split(body, "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 2000 AS lines, CAST(40000 AS BIGINT) AS words, 30 AS distinct_words")
-def demo_corpus_counts(spark, sf_dir):
-    w = files.demo_corpus(spark, 2000).select("line", F.explode(F.split("text", " ")).alias("word"))
-    return w.agg(F.count_distinct("line").alias("lines"), F.count("*").alias("words"), F.count_distinct("word").alias("distinct_words"))
+def mixed_sql(x: str, seed: int) -> str:
+    out = f"(({x}) % 2147483647)"
+    for _ in range(3):
+        out = f"(({out} * 48271 + {seed * 40692 + 11}) % 2147483647)"
+    return f"({out} % 1000000)"
+
 
+# the generators' fixed values, written out for the SQL by itself
+_DEMO_TEXT = "the cat sat on mat a big small dog ran fast slow jumped over fence house mouse cheese ate drank water milk car truck bus plane train boat ship air"
+_DEMO_VARIANTS = "(VALUES (0, 'Sequential', 45, 1.00), (1, 'OMP-2t', 25, 0.95), (2, 'OMP-4t', 14, 0.90), (3, 'MPI-2p', 22, 0.92), (4, 'MPI-4p', 12, 0.85), (5, 'CUDA', 8, 0.98)) c(k, variant, base, scale)"
+_DEMO_PAIRS = "t h,h e,in g,e r,a n,o n,e d,th e,i n,re s,s t,a t,l e,i t,o f,e n,a r,o r,n d,c e,i s,t er,a l,i c,r e,d e,s e,he r,c o,m e"
 
-_DEMO = "(VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(files.DEMO_PAIRS)) + ") p(k, pair_a, pair_b)"
-_CONFIG = "(VALUES " + ", ".join(f"('{v}', {b}::DOUBLE, {s}::DOUBLE)" for v, b, s in files.DEMO_VARIANTS) + ") c(variant, base, scale)"
+
+@query(f"""SELECT word, count(*) AS freq, count(DISTINCT doc_id) AS lines FROM (SELECT doc_id, string_split('{_DEMO_TEXT}', ' ')[CAST({mixed_sql('doc_id * 20 + i', 42)} % 30 AS INT) + 1] AS word
+ FROM documents, range(20) p(i)) GROUP BY word""")
+def demo_corpus_counts(spark, sf_dir):
+    """A generated line for each document."""
+    w = files.demo_lines(table(spark, sf_dir, "documents"), "doc_id").select("line", F.explode(F.split("text", " ")).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("freq"), F.count_distinct("line").alias("lines"))
 
 
-@query(f"""SELECT variant, CAST(step AS INT) AS step, pair_a, pair_b, true AS freq_fits, true AS time_fits,
- CASE WHEN variant = 'Sequential' THEN CAST(floor(250.5 + list_sum([CASE WHEN i < 50 THEN 2.0 WHEN i < 150 THEN 1.0 ELSE 0.5 END FOR i IN range(1, step + 1)])) AS BIGINT) END AS vocab_size,
- CASE WHEN variant = 'Sequential' THEN round(1 + step * 0.008::DOUBLE, 4) END AS avg_tok_len FROM range(1, 301) s(step), {_CONFIG}, {_DEMO} WHERE p.k = step % 30""")
+@query(f"""WITH s AS (SELECT CAST(event_id + 1 AS INT) AS step FROM events), t AS (SELECT *, string_split(string_split('{_DEMO_PAIRS}', ',')[step % 30 + 1], ' ') AS p FROM s, {_DEMO_VARIANTS})
+ SELECT variant, step, p[1] AS pair_a, p[2] AS pair_b, CAST(round(2000 / ln(step + 2.0::DOUBLE) + {mixed_sql('step::BIGINT * 6 + k', 43)} / 5000.0::DOUBLE) AS BIGINT) AS freq,
+ ((greatest(10000000, base * CAST(scale * 100 AS BIGINT) * 100000 + {mixed_sql('step::BIGINT * 6 + k', 42)} * base * 3 - base * 1500000 + step::BIGINT * 200000) + 5000) // 10000) / 1000.0::DOUBLE AS wall_ms,
+ CASE WHEN k = 0 THEN CAST(floor(250.5 + CASE WHEN step < 50 THEN 2.0 * step WHEN step < 150 THEN 98 + (step - 49) ELSE 198 + 0.5 * (step - 149) END) AS BIGINT) END AS vocab_size,
+ CASE WHEN k = 0 THEN round(1 + step * 0.008::DOUBLE, 4) END AS avg_tok_len FROM t""")
 def demo_trace_columns(spark, sf_dir):
-    t = files.demo_traces(spark).join(F.broadcast(spark.createDataFrame(files.DEMO_VARIANTS, "variant string, base double, scale double")), "variant")
-    middle = F.col("base") * F.col("scale") + F.col("step") * 0.02
-    fits = F.col("freq").between(F.floor(2000 / F.ln(F.col("step") + 2.0)), F.ceil(2000 / F.ln(F.col("step") + 2.0)) + 200)
-    near = (F.col("wall_ms") >= 1) & (F.abs(F.col("wall_ms") - F.greatest(middle, F.lit(1.0))) <= F.col("base") * 0.15 + 0.001)
-    return t.select("variant", "step", "pair_a", "pair_b", fits.alias("freq_fits"), near.alias("time_fits"), "vocab_size", "avg_tok_len")
+    """Generated traces of as many steps as there are events."""
+    return files.demo_steps(table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("step")))
 
 
 @query(f"WITH {_MERGES} SELECT CAST(step AS INT) AS step, pair_a, pair_b, freq FROM m")
