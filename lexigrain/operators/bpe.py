@@ -8,26 +8,27 @@ step, one row, comes to the driver.
 
 from __future__ import annotations
 
-import tempfile
 import time
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.functions.text import CLOSE, END_OF_WORD, OPEN, adjacent_pairs, merged, symbol_count, unwrapped, wrapped
+from lexigrain.functions.text import CLOSE, END_OF_WORD, OPEN, merged, unwrapped, wrapped
+from lexigrain.operators.shared import shared_dir
 
 TRACE = "step int, pair_a string, pair_b string, freq bigint, wall_ms double, vocab_size bigint, avg_tok_len double"
 Merge = tuple[str, str]
+#: Distinct pairs that a task holds.
+HOLD = 500_000
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only a local session may leave it unset and gets one of its own."""
+    """Checkpoints go to the folder that all machines share."""
     if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexigrain-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -36,9 +37,27 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 
 def pair_counts(vocab: DataFrame) -> DataFrame:
-    """(left, right, freq): adjacent pairs weighted by word frequency."""
-    pairs = vocab.where(symbol_count(F.col("s")) > 1).select("freq", F.explode(adjacent_pairs(F.col("s"))).alias("p"))
-    return pairs.groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq")).select("left", "right", "freq")
+    """(left, right, freq): adjacent pairs weighted by word frequency; a task sends a pair once for each HOLD distinct ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[Merge, int] = defaultdict(int)
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["left", "right", "freq"])
+
+        for batch in batches:
+            for s, freq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                symbols = s[1:-1].split(CLOSE + OPEN)
+                for p in zip(symbols, symbols[1:]):
+                    found[p] += freq
+            if len(found) > HOLD:
+                yield table()
+                found.clear()
+        if found:
+            yield table()
+
+    pairs = vocab.select("s", F.col("freq").cast("bigint").alias("freq")).mapInArrow(count, "left string, right string, freq bigint")
+    return pairs.groupBy("left", "right").agg(F.sum("freq").alias("freq"))
 
 
 def best_pair(pairs: DataFrame) -> DataFrame:

@@ -10,9 +10,25 @@ from pyspark.sql import functions as F
 from lexigrain.functions.text import djb2, ratio, whitespace_tokens
 
 
+#: Bytes of a scan up to which its rows are dealt to all cores.
+SMALL = 256 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a small scan dealt to all cores: a file of one row group is one task, however long its texts take.
+
+    Larger inputs have as many row groups as there is work, and are not shuffled.
+    """
+    if rows.isStreaming:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size <= SMALL else rows
+
+
 def tokens(docs: DataFrame, text_col: str = "text", tokenizer=whitespace_tokens, *keys: str) -> DataFrame:
     """One row a token: keys and word."""
-    return docs.select(*keys, F.explode(tokenizer(F.col(text_col))).alias("word"))
+    return spread(docs.select(*dict.fromkeys([*keys, text_col]))).select(*keys, F.explode(tokenizer(F.col(text_col))).alias("word"))
 
 
 def word_count(docs: DataFrame, text_col: str = "text", tokenizer=whitespace_tokens, *keys: str) -> DataFrame:

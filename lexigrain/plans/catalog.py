@@ -16,6 +16,7 @@ from lexigrain.operators.word_store import WordStore
 from lexigrain.sources import files
 
 MERGES = 10
+MANY = 50
 BASELINE = "click"
 SAMPLE = ("the", "of", "and", "to", "in", "is", "that", "it")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,28 +41,36 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_count(table(spark, sf_dir, "documents"))
 
 
-_models: dict[tuple[str, str, int], tuple[list[tuple], DataFrame]] = {}
+_trainings: dict[tuple[str, str, int], Training] = {}
+_vocabularies: dict[tuple[str, str, int], DataFrame] = {}
 
 
-def model(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> tuple[list[tuple], DataFrame]:
-    """(trace rows, final vocabulary), trained once a session and folder."""
+def trained(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> Training:
+    """A training over the documents, run once a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, merges)
-    if key not in _models:
-        folder = Folder(spark)
-        w = folder.save(counts(spark, sf_dir), "counts")
-        training = Training(w, stats=True)
-        trace = [tuple(r) for r in training.run(merges).collect()]
+    if key not in _trainings:
+        training = Training(Folder(spark).save(counts(spark, sf_dir), "counts"), stats=merges == MANY)
+        training.run(merges)
+        _trainings[key] = training
+    return _trainings[key]
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> DataFrame:
+    """(word, freq, s) after the merges, s the wrapped symbols."""
+    key = (spark.sparkContext.applicationId, sf_dir, merges)
+    if key not in _vocabularies:
         wrapped = F.concat(F.lit(T.OPEN), F.array_join("tokens", T.CLOSE + T.OPEN), F.lit(T.CLOSE))
-        _models[key] = (trace, folder.save(encode_words(w, training.merges).select("word", "freq", wrapped.alias("s")), "vocabulary"))
-    return _models[key]
+        encoded = encode_words(counts(spark, sf_dir), rules(spark, sf_dir, merges))
+        _vocabularies[key] = Folder(spark).save(encoded.select("word", "freq", wrapped.alias("s")), "vocabulary")
+    return _vocabularies[key]
 
 
 def rules(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> list[bpe.Merge]:
-    return [(r[1], r[2]) for r in model(spark, sf_dir, merges)[0]]
+    return trained(spark, sf_dir, merges).merges
 
 
 def merge_table(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> DataFrame:
-    return spark.createDataFrame([r[:4] for r in model(spark, sf_dir, merges)[0]], "step int, pair_a string, pair_b string, freq bigint")
+    return spark.createDataFrame([tuple(r[:4]) for r in trained(spark, sf_dir, merges).state["trace"]], "step int, pair_a string, pair_b string, freq bigint")
 
 
 _traces: dict[tuple[str, str], DataFrame] = {}
@@ -116,8 +125,6 @@ def rules_from(merges: int = MERGES) -> str:
 
 TRAIN = training_sql()
 SHOW = "replace(substr({0}, 2, length({0}) - 2), chr(2) || chr(1), ' ')"
-#: Merges of the longer trainings.
-MANY = 50
 TRAIN_MANY = training_sql(MANY)
 N_SYMBOLS = "(length({0}) - length(replace({0}, chr(1), '')))"
 
@@ -252,7 +259,7 @@ _STATS = stats_sql(3)
 
 @query(f"{TRAIN_MANY}, st AS ({stats_sql(MANY)}) SELECT step, l AS pair_a, r AS pair_b, freq, vocab_size, round(avg_tok_len, 9) AS avg_tok_len FROM m JOIN st USING (step)")
 def bpe_trace_stats_50(spark, sf_dir):
-    rows = [(*r[:4], r[5], round(r[6], 9)) for r in model(spark, sf_dir, MANY)[0]]
+    rows = [(*r[:4], r[5], round(r[6], 9)) for r in trained(spark, sf_dir, MANY).state["trace"]]
     return spark.createDataFrame(rows, "step int, pair_a string, pair_b string, freq bigint, vocab_size bigint, avg_tok_len double")
 
 
@@ -264,13 +271,13 @@ def bpe_trace_stats(spark, sf_dir):
 
 @query(f"{TRAIN}, e AS (SELECT freq, {N_SYMBOLS.format('s')} AS n FROM v{MERGES}) SELECT CAST(sum(freq) AS BIGINT) AS words, CAST(sum(freq * n) AS BIGINT) AS subwords, CAST(sum(freq * n) AS DOUBLE) / sum(freq) AS subwords_per_word FROM e")
 def bpe_totals(spark, sf_dir):
-    vocab = model(spark, sf_dir)[1]
+    vocab = vocabulary(spark, sf_dir)
     return bpe.encoded_totals(vocab.select("word", "freq"), vocab.select("word", T.unwrapped(F.col("s")).alias("tokens")))
 
 
 @query(f"{TRAIN} SELECT count(DISTINCT x) AS vocab_size, round(CAST(sum(strlen(x)) AS DOUBLE) / count(*), 9) AS avg_tok_len FROM (SELECT unnest({ARR}) AS x FROM v{MERGES})")
 def bpe_symbol_stats(spark, sf_dir):
-    return bpe.symbol_stats(model(spark, sf_dir)[1]).select("vocab_size", F.round("avg_tok_len", 9).alias("avg_tok_len"))
+    return bpe.symbol_stats(vocabulary(spark, sf_dir)).select("vocab_size", F.round("avg_tok_len", 9).alias("avg_tok_len"))
 
 
 @query(f"{TRAIN} SELECT word, {SHOW.format('s')} AS tokens FROM v{MERGES}")
@@ -308,7 +315,7 @@ def bpe_partial_encode(spark, sf_dir):
 
 @query(f"{TRAIN}, q AS (SELECT word, count(*) AS freq FROM (SELECT unnest({TOK.format('text')}) AS word FROM benchmark) GROUP BY word) SELECT word, q.freq, CAST(coalesce({N_SYMBOLS.format('s')}, 0) AS BIGINT) AS n_symbols FROM q LEFT JOIN v{MERGES} USING (word)")
 def bpe_lookup_left_join(spark, sf_dir):
-    vocab = model(spark, sf_dir)[1].withColumn("n_symbols", T.symbol_count(F.col("s")).cast("bigint"))
+    vocab = vocabulary(spark, sf_dir).withColumn("n_symbols", T.symbol_count(F.col("s")).cast("bigint"))
     return words.lookup(words.word_count(table(spark, sf_dir, "benchmark")), vocab, "n_symbols", F.lit(0))
 
 
@@ -317,7 +324,7 @@ _LIST = ", ".join(f"('{w}')" for w in SAMPLE)
 
 @query(f"{TRAIN} SELECT x.word, coalesce({SHOW.format('s')}, 'not found') AS tokens FROM (VALUES {_LIST}) x(word) LEFT JOIN v{MERGES} USING (word)")
 def bpe_sample_words(spark, sf_dir):
-    vocab = model(spark, sf_dir)[1].withColumn("tokens", F.array_join(T.unwrapped(F.col("s")), " "))
+    vocab = vocabulary(spark, sf_dir).withColumn("tokens", F.array_join(T.unwrapped(F.col("s")), " "))
     return words.lookup(spark.createDataFrame([(w,) for w in SAMPLE], "word string"), vocab, "tokens", F.lit("not found"))
 
 
