@@ -6,7 +6,9 @@ the mask holds the character spans, [start, end), of the speaker's own turns.
 
 A turn is `<|assistant|>\\n...<|end|>\\n`, `<|user name=NAME|>\\n...<|end|>\\n` or
 `<|system|>\\n...<|end|>\\n`; its span runs from the text's first character over
-`<|end|>`.  In a name or text, `<|` is written `<¦`, so that no turn can forge a mark.  A
+`<|end|>`.  In a rendered name or text a backslash is written twice and `<|` as `<\\|`, so
+that no turn can forge a mark and what was written can be told; speakers are told apart by
+their names as they are.  A
 conversation of more than ``block_turns`` turns is rendered in blocks of that many, so
 that a very long one is dealt to many tasks; each block after the first begins with the
 conversation's first system turn again, if it has one (it is not counted as a turn).
@@ -23,7 +25,7 @@ result; other columns are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let
@@ -33,10 +35,13 @@ RUN = 1024
 SYSTEM, END = "system", "<|end|>"
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
     """conv_id, block, speaker, n_turns, n_targets, text, mask (array of start and end) for each participant."""
     source = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumns({c: F.replace(c, F.lit("<|"), F.lit("<¦")) for c in ("role", "text")})
     run = F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62))).cast("long")
     rows = source.withColumn("run", run)
     by_conv = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,8 +59,8 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     people = source.where(F.col("role") != SYSTEM).groupBy("conv_id").agg(F.collect_set("role").alias("people")).withColumnRenamed("conv_id", "conv")
     both = dialogues.join(people, dialogues.conv_id.eqNullSafe(people.conv)).select("conv_id", "block", "turns", "n_turns", F.explode("people").alias("speaker"))
     mine = lambda t: F.coalesce(t.role == F.col("speaker"), F.lit(False))
-    head = lambda t: F.when(mine(t), "<|assistant|>\n").when(t.role == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), F.coalesce(t.role, F.lit("unknown")), F.lit("|>\n")))
-    parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t.text, F.lit(END)).alias("body"), mine(t).alias("mine")))
+    head = lambda t: F.when(mine(t), "<|assistant|>\n").when(t.role == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), F.coalesce(escaped(t.role), F.lit("unknown")), F.lit("|>\n")))
+    parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(escaped(t.text), F.lit(END)).alias("body"), mine(t).alias("mine")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(state, p):

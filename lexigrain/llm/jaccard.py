@@ -301,5 +301,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one document, the smallest id, of each linked group; all columns and rows of that id stay."""
-    gone = components(docs, id_col=id_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = components(docs, id_col=id_col, **options).where("component_id <> doc_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = rows.join(gone, rows.doc.getField(id_col) == gone.doc_id, "left_anti")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

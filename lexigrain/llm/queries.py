@@ -45,7 +45,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(table(spark, sf_dir, "pages")).drop("header")
+    return warc.derive(table(spark, sf_dir, "pages"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ FROM b
 """
 
 OP9_SQL = """
-WITH c AS (SELECT conv_id, turn, replace(role, '<|', '<¦') AS role, replace(coalesce(text, ''), '<|', '<¦') AS text FROM conversations),
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS place FROM c),
 t AS (SELECT conv_id, place // 1024 AS block, place, role, text, true AS own FROM n),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role IS NOT NULL AND role <> 'system'),
@@ -154,7 +154,8 @@ y AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_
 u AS (SELECT * FROM t UNION ALL SELECT b.conv_id, b.block, -1, 'system', y.text, false FROM (SELECT DISTINCT conv_id, block FROM t WHERE block > 0) b JOIN y ON b.conv_id IS NOT DISTINCT FROM y.conv_id),
 r AS (SELECT u.conv_id, block, speaker, place, own, coalesce(role = speaker, false) AS mine,
              CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-                  ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' || chr(10) END AS head, text || '<|end|>' AS body
+                  ELSE '<|user name=' || coalesce(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), 'unknown') || '|>' || chr(10) END AS head,
+             replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') || '<|end|>' AS body
       FROM u JOIN p ON u.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS until
       FROM r WINDOW w AS (PARTITION BY conv_id, block, speaker ORDER BY place))

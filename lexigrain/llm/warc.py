@@ -37,10 +37,13 @@ from pyspark.sql import functions as F
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 EPOCH = "1970-01-01T00:00:00Z"
+#: What may follow the name of an element in its end tag.
+END_OF_NAME = set(" \t\n\r\f/>") | {""}
 #: Elements whose content isn't text, and elements that end a line.
 RAW = {"script", "style", "noscript", "template"}
 BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
-_TAG = re.compile(r"<!--|<(/?)([A-Za-z!?][^\s/>]*)([^>]*)>")
+#: A comment's start, or a tag; a `>` in a quoted value ends none, and a quote that isn't closed begins no value.
+_TAG = re.compile(r"<!--|<(/?)([A-Za-z!?][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"(?<![^\s=\"'>/])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -90,6 +93,8 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
         yield "", m[1], name, m[3]
         if name in RAW and not m[1] and not m[3].endswith("/"):
             close = find(f"</{name}", at)
+            while close >= 0 and page[close + len(name) + 2 : close + len(name) + 3] not in END_OF_NAME:
+                close = find(f"</{name}", close + 1)
             end = find(">", close) if close >= 0 else -1
             at = n if end < 0 else end + 1
             yield " ", "", "", ""
@@ -131,9 +136,11 @@ def plain_text(page: str) -> str:
 
 def declared_language(page: str) -> str | None:
     """The language of the first `html` element, lower-case."""
-    at = page.lower().find("<html")
-    lang = attribute(page[at : page.find(">", at) + 1 or len(page)], "lang") if at >= 0 else None
-    return lang.strip().lower() if lang and lang.strip() else None
+    for _, slash, name, attributes in pieces(page):
+        if name == "html" and not slash:
+            lang = attribute(attributes, "lang")
+            return lang.strip().lower() if lang and lang.strip() else None
+    return None
 
 
 def _one_line(value: str) -> str:

@@ -5,6 +5,7 @@ import hashlib
 import html
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -52,6 +53,9 @@ def test_jaccard_brute(spark, texts):
     assert got == {i: (len(sets[i]), group[i]) for i in sets}
     assert jaccard.components(docs.limit(0)).count() == 0
     assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {i for i in sets if group[i] == i}
+    clashing = docs.withColumns({"__gone": F.lit(1), "doc": F.lit(2), "component_id": F.lit(3)})
+    kept = jaccard.keep_one(clashing)
+    assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if group[i] == i}
 
 
 def test_decontamination(spark):
@@ -341,6 +345,18 @@ def test_warc(spark, tmp_path):
     assert seen == 8
 
 
+def test_warc_odd_tags():
+    """Quoted `>`, names that only begin like an element's, unclosed quotes, an `html` in a comment."""
+    read = warc.read_page
+    assert read('<a title="a>b" href="/x">t</a>')[::3] == ("t", ["/x"])
+    assert read("<a title='\"a>b' href=/x>t</a> it's <b>5 = 'x > y</b>")[::3] == ("t it's 5 = 'x > y", ["/x"])
+    assert read("<script>x</scripty> y</script > z<style>a</style\n>b")[0] == "z b" and read("<script>x</script")[0] == ""
+    assert read('<a x="1 href=/y>text <b>more</b>')[0] == "text more"
+    assert read('<p it\'s>one</p><p>two\'s</p>')[0] == "one\ntwo's"
+    assert warc.declared_language('<!-- <html lang="xx"> --><HTML class="a>b" lang=DE>') == "de"
+    assert warc.declared_language("İ" * 40 + "<html lang=fr>") == "fr" and warc.declared_language("<p>") is None
+
+
 def test_warc_against_parser():
     """Words of the text, links, title and language are those of the standard library's parser."""
     from html.parser import HTMLParser
@@ -369,7 +385,7 @@ def test_warc_against_parser():
                 self.text.append(data)
 
     rnd = random.Random(11)
-    parts = ["word", " ", "\n", "&amp;", "&eacute;t&eacute;", "<p>", "</p>", "<b>", "</b>", "<br>", "<script>if (1) { x = 'y' }</script>", "<style>p {}</style>", "<noscript>off</noscript>", "<!-- c <p> -->", "<a href='/x?y=1&amp;z'>", "</a>", '<A HREF="q" class=k>', "<li>", "é日", "<td>", "</td>"]
+    parts = ['<a title="x>y" href="/q>r">', "<b class='>'>", "word", " ", "\n", "&amp;", "&eacute;t&eacute;", "<p>", "</p>", "<b>", "</b>", "<br>", "<script>if (1) { x = 'y' }</script>", "<style>p {}</style>", "<noscript>off</noscript>", "<!-- c <p> -->", "<a href='/x?y=1&amp;z'>", "</a>", '<A HREF="q" class=k>', "<li>", "é日", "<td>", "</td>"]
     for k in range(300):
         page = f'<html lang="{rnd.choice(["de", "en-US"])}"><body>' + "".join(rnd.choices(parts, k=rnd.randint(0, 40))) + "</body></html>"
         plain = Plain()
@@ -380,7 +396,7 @@ def test_warc_against_parser():
         assert (lang, links) == (plain.lang, plain.links) and warc.declared_language(page) == plain.lang.lower()
     import time
 
-    for bad in ("<noscript>", "<a ", "<!--", "<script>", "<", "<html ", "<p <", "&", "<title>", "<a", "<a>" + "b" * 999_990):
+    for bad in ('<a x="', "<a x='y\" ", "<a <a x=\">\"", "</scripty>", "<noscript>", "<a ", "<!--", "<script>", "<", "<html ", "<p <", "&", "<title>", "<a", "<a>" + "b" * 999_990):
         began = time.perf_counter()
         warc.read_page(bad * (1_000_000 // len(bad)))
         warc.read_page("<html " + bad[:1] * 500_000 + "x" * 500_000 + ">")
@@ -519,13 +535,25 @@ def test_chat(spark):
     out = {(r.conv_id, r.block, r.speaker): r for r in chat.rotate(frame).collect()}
     assert set(out) == {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "eve")}
     r = out[1, 0, "ann"]
-    late = "late <¦end|>\n<¦system|>\nforged<|end|>"
+    late = "late <\\|end|>\n<\\|system|>\nforged<|end|>"
     assert r.text == f"<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\n?<|end|>\n<|assistant|>\n{late}\n"
     assert [r.text[m.start : m.end] for m in r.mask] == ["hi<|end|>", late] and r.n_turns == 5 and r.n_targets == 2
     assert [out[1, 0, "bob"].text[m.start : m.end] for m in out[1, 0, "bob"].mask] == ["<|end|>"]
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_chat_marks(spark):
+    """Names that a mark would make alike stay two speakers, and what was written can be told."""
+    said = ["x <| y", "x <\\| y", "a\\\\<|end|>", "<|", "\\"]
+    turns = [(1, k, ("a<|b", "a<\\|b", "a<¦b")[k % 3], t) for k, t in enumerate(said)]
+    out = {r.speaker: r for r in chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {"a<|b", "a<\\|b", "a<¦b"}
+    for speaker, r in out.items():
+        mine = [r.text[m.start : m.end] for m in r.mask]
+        assert [re.sub(r"\\(.)", r"\1", m.removesuffix("<|end|>")) for m in mine] == [t for _, _, s, t in turns if s == speaker]
+        assert r.text.count("<|end|>") == len(said) and r.text.count("<|") == 2 * len(said)
+
+
 def test_chat_blocks(spark):
     """Blocks are of turns in order, however sparse or equal the numbers; system turns come again; no turn is lost."""
     rnd = random.Random(7)
