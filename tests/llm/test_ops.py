@@ -271,6 +271,24 @@ def test_line_recall(spark):
     assert len(recall) == 8 and all(found >= 0.9 * n for found, n in recall.values())
 
 
+def test_line_passages(spark):
+    """Lines that share a long passage: their keys are crowded, and copies meet by what is their own."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvw", k=rnd.randint(2, 9))) for _ in range(3000)]
+    for shared, own, n in ((60, 14, 150), (40, 14, 150), (12, 6, 60)):
+        passage, texts = rnd.choices(words, k=shared), []
+        for _ in range(n):
+            mine = rnd.choices(words, k=own)
+            copy = mine[:]
+            copy[rnd.randrange(own)] = rnd.choice(words)
+            texts += [" ".join(passage + mine), " ".join(passage + copy)]
+        wanted = [i for i in range(1, 2 * n, 2) if within(texts[i - 1], texts[i], int(0.1 * max(len(texts[i - 1]), len(texts[i])) + 1e-9))]
+        out = {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs_frame(spark, texts)).collect()}
+        found = sum(out[i] for i in wanted)
+        print(f"{shared} + {own} words: {found} of {len(wanted)}")
+        assert len(wanted) > n / 2 and found >= 0.95 * len(wanted) and not any(out[i] for i in range(0, 2 * n, 2))
+
+
 def test_token_counts(spark, texts):
     rnd = random.Random(2)
     pieces = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 4))) + rnd.choice(["", "</w>"]) for _ in range(60)} | {"a", "b", "a</w>", "b</w>"})
