@@ -1,8 +1,8 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 - Text: naive Bayes over words and character trigrams, fitted on about
-  ``train_rows`` labelled documents, drawn by hash from each language; the log likelihood is divided by a length
-  factor, as neighbouring features are not independent.
+  ``train_rows`` labelled documents, drawn by hash from each language in one scan, copies of a text once; the log
+  likelihood is divided by a length factor, as neighbouring features are not independent.
 - Declared language of the markup (`<html lang=...>`), trusted to DECLARED.
 - Address suffix: a country suffix of one of the languages, trusted to SUFFIX.
 - Host prior: text posteriors of all other pages, added up by host, by registered
@@ -24,18 +24,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .warc import declared_language, plain_text
 
 TRAIN_ROWS = 4000
-FEATURES = 200_000
 DECLARED, SUFFIX, STRENGTH = 0.8, 0.6, 20.0
 #: Country suffixes and their main language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
@@ -63,9 +61,9 @@ def registered_domain(host: str) -> str:
 
 
 class TextModel:
-    """Log likelihoods of the most frequent features by language."""
+    """Log likelihoods of all features of the labelled rows by language."""
 
-    def __init__(self, rows: list[tuple[str, str]], size: int = FEATURES):
+    def __init__(self, rows: list[tuple[str, str]]):
         self.languages = sorted({lang for _, lang in rows})
         counts = {lang: Counter() for lang in self.languages}
         for text, lang in rows:
@@ -73,7 +71,7 @@ class TextModel:
         total = Counter()
         for c in counts.values():
             total.update(c)
-        known = sorted(total, key=lambda f: (-total[f], f))[:size]
+        known = sorted(total, key=lambda f: (-total[f], f))
         table = np.array([[counts[lang][f] for lang in self.languages] for f in known], dtype=np.float64).reshape(len(known), len(self.languages)) + 0.5
         self.weights = dict(zip(known, np.log(table / table.sum(axis=0, keepdims=True)), strict=True))
 
@@ -90,12 +88,18 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """A model of about train_rows whole texts: of each language an equal share, those of the smallest hash."""
     source = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = sorted((r["count"], r["lang"]) for r in source.groupBy("lang").count().collect())
-    parts, left = [], train_rows
+    if not sizes:
+        return TextModel([])
+    shares, limits, left = [], [], train_rows
     for k, (size, lang) in enumerate(sizes):
         share = max(1, left // (len(sizes) - k))
         left -= min(size, share)
-        parts.append(source.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(share))
-    rows = reduce(DataFrame.union, parts).collect() if parts else []
+        shares += [F.lit(lang), F.lit(share)]
+        limits += [F.lit(lang), F.lit(int(min(1.0, (2 * share + 10) / size) * (1 << 53)))]  # of 53 bits; some more than needed
+    drawn = source.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    drawn = drawn.where(F.col("hash") < F.create_map(*limits)[F.col("lang")]).dropDuplicates(["lang", "text"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    rows = drawn.withColumn("place", place).where(F.col("place") <= F.create_map(*shares)[F.col("lang")]).select("text", "lang").collect()
     return TextModel([tuple(r) for r in rows])
 
 

@@ -545,6 +545,9 @@ def test_language_sample(spark):
     rows = [(f"the and {i}" + " the" * 2000 + " late", "en") for i in range(30)] + [(f"und das {i}", "de") for i in range(3)]
     model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").coalesce(1), train_rows=10)
     assert model.languages == ["de", "en"] and "late" in model.weights
+    copies = [("the same", "en")] * 500 + [(f"own{k}", "en") for k in range(6)]
+    weights = language_id.fit(spark.createDataFrame(copies, "text string, lang string"), train_rows=600).weights
+    assert all(f"own{k}"[:3] in weights for k in range(6)) and "same" in weights and len(weights["same"]) == 1
 
 
 def test_chat(spark):
