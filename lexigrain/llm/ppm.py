@@ -1,19 +1,22 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-A byte-context trie of depth 4 is trained on the corpus: for each context of up
-to four symbols, the counts of the next one.  A symbol is coded under the longest
-seen context; where that hasn't seen it, an escape (method C: distinct / (total +
-distinct)) goes to the next shorter one, from which all symbols seen before are
-excluded; last comes a uniform choice of the rest.  A text is its words, parted by
-one word mark, and an end; contexts run across words, before the text are word
-marks, and every occurrence in a training text counts.
+A byte-context trie of depth 5 is trained on the corpus.  A context of five symbols
+counts the occurrences of the next one, a shorter context the different contexts,
+longer by a symbol, in which it came (update exclusion).  A symbol is coded under
+the longest seen context.  The escape estimate takes ``DISCOUNT`` from each count: it
+has the chance DISCOUNT * distinct / total, and goes to the next shorter context,
+from which all symbols seen before are excluded; last comes a uniform choice of the
+rest.  A text is its words, parted by one word mark, and an end; contexts run across
+words, before the text are word marks, and every occurrence in a training text counts.
 
 Contexts are exact and have no bound.  A symbol's probability depends on it and the
-four before it, its gram: grams are counted, priced by groups of equal last two
-context symbols (all counts of depth 2 to 4 that a price needs), and join the
-documents.  The most frequent ``CACHE`` grams, and for the base score ``TOP`` words of
-at most 64 bytes, are broadcast; that only spares the shuffle of their rows, and
-the rest are joined, one row for each document and distinct rare gram or word.
+five before it, its gram.  Grams are counted, dealt and sorted by their last three
+context symbols (which brings together all counts of depth 3 to 5 that a price needs;
+those of depth 0 to 2, at most A ** 3 and in text far fewer, are sent to all), priced
+in stretches, and join the documents.  The most frequent ``CACHE`` grams, and for the
+base score ``TOP`` words of at most 64 bytes, are broadcast; that only spares the
+shuffle of their rows, and the rest are joined, one row for each document and distinct
+rare gram or word.
 
 Text: A-Z lower-cased; words `[^\\x20\\x09-\\x0D]+`, then one end.  Documents whose
 crc32 of the id as text, mod 7, is 2 are held out.
@@ -30,7 +33,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, worker_cache
+from .common import Scratch, shuffle_partitions, worker_cache
 
 A, WORD, END = 258, 256, 257  # bytes, the end of a word (also its start), the end of a text
-DEPTH = 4
-BASE = tuple(sum(A**k for k in range(depth)) for depth in range(DEPTH + 1))  # first row of each depth
+DEPTH = 5
+NEAR = 3  # context symbols by which grams are dealt
+DISCOUNT = 0.4
 CACHE = 3_000_000
-KEPT_SYMBOLS = 3_000_000
+KEPT_SYMBOLS = 8_000_000
+#: Grams that a task prices at once, or all of the same last NEAR context symbols.
+PRICED = 1_000_000
 TOP = 400_000
 KEPT_WORDS = 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,29 +64,11 @@ def held_out(doc) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % 7 == 2
 
 
-def rows_of(sequences: list[bytes], end: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Symbols to predict, their trie row at each depth (-1: not so deep), and the sequence of each."""
-    n = np.array([len(s) for s in sequences], dtype=np.int64)
-    starts = np.cumsum(n + 2) - (n + 2)
-    symbols = np.full(int((n + 2).sum()), END if end else WORD, dtype=np.int64)
-    symbols[starts] = WORD
-    inner = np.ones(len(symbols), dtype=bool)
-    inner[starts] = inner[starts + n + 1] = False
-    symbols[inner] = np.frombuffer(b"".join(sequences), dtype=np.uint8)
-    place = np.arange(len(symbols)) - np.repeat(starts, n + 2)
-    at = np.flatnonzero(place > 0)
-    rows, context = [np.zeros(len(at), dtype=np.int64)], np.zeros(len(at), dtype=np.int64)
-    for depth in range(1, DEPTH + 1):
-        context = context * A + symbols[np.maximum(at - depth, 0)]
-        rows.append(np.where(place[at] >= depth, BASE[depth] + context, -1))
-    return symbols[at], rows, np.repeat(np.arange(len(n)), n + 1)
-
-
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Every symbol's gram, context (latest symbol first) * A + symbol, and the index of its text."""
     bodies = [b" ".join(words(t)) for t in texts]
     n = np.array([len(b) for b in bodies], dtype=np.int64)
-    symbols = np.frombuffer(b"".join(b"    " + b + b" " for b in bodies), dtype=np.uint8).astype(np.int64)
+    symbols = np.frombuffer(b"".join(b" " * DEPTH + b + b" " for b in bodies), dtype=np.uint8).astype(np.int64)
     symbols[symbols == 32] = WORD
     ends = np.cumsum(n + DEPTH + 1) - 1
     symbols[ends] = END
@@ -92,36 +80,76 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (gram * A + symbols[DEPTH:])[inner[DEPTH:]], np.repeat(np.arange(len(n)), n + 1)
 
 
-class Trie:
-    """Counts by cell, row * A + symbol, and log10 probabilities."""
-
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        order = np.argsort(cells)
-        self.cells, self.counts = cells[order], counts[order]
-
-    def _row(self, r: int) -> np.ndarray:
-        low, high = np.searchsorted(self.cells, (r * A, (r + 1) * A))
-        out = np.zeros(A)
-        out[self.cells[low:high] - r * A] = self.counts[low:high]
-        return out
-
-    def log10(self, sequences: list[bytes], end: bool = False) -> np.ndarray:
-        symbols, rows, of = rows_of(sequences, end)
-        out = [self._escaped(int(x), [int(r[i]) for r in rows if r[i] >= 0]) for i, x in enumerate(symbols)]
-        return np.bincount(of, weights=out, minlength=len(sequences))
-
-    def _escaped(self, symbol: int, rows: list[int]) -> float:
-        out, excluded = 0.0, np.zeros(A, dtype=bool)
-        for r in reversed(rows):
-            counts = np.where(excluded, 0, self._row(r))
-            kinds, total = np.count_nonzero(counts), counts.sum()
-            if not kinds:
-                continue
-            if counts[symbol]:
-                return out + math.log10(counts[symbol] / (total + kinds))
-            out += math.log10(kinds / (total + kinds))
-            excluded |= counts > 0
-        return out - math.log10(A - np.count_nonzero(excluded))
+def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key, -1 where it isn't there."""
+    at = np.searchsorted(sorted_keys, keys)
+    found = at < len(sorted_keys)
+    found[found] = sorted_keys[at[found]] == keys[found]
+    return np.where(found, at, -1)
+
+
+class Level:
+    """Seen cells (context * A + symbol, sorted) of one depth with their counts, and sums by context.
+
+    ``taken`` is, by context, what its symbols count in the context shorter by one:
+    the exclusion that an escape from here brings there.
+    """
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, shorter: Level | None):
+        self.cells, self.counts = cells, counts.astype(np.float64)
+        self.contexts, of = np.unique(cells // A, return_inverse=True)
+        size = len(self.contexts)
+        self.total, self.kinds = np.bincount(of, weights=self.counts, minlength=size), np.bincount(of, minlength=size)
+        if shorter:
+            self.taken = np.bincount(of, weights=shorter.counts[np.searchsorted(shorter.cells, parents(cells))], minlength=size)
+
+
+def parents(cells: np.ndarray) -> np.ndarray:
+    """The cells under the context shorter by its earliest symbol."""
+    return cells // (A * A) * A + cells % A
+
+
+def low_levels(cells: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Levels of depth 0 to NEAR - 1 from the cells of the last, which count contexts longer by one."""
+    order = np.argsort(cells)
+    tables = [(cells[order], counts[order])]
+    while len(tables) < NEAR:
+        tables.append(np.unique(parents(tables[-1][0]), return_counts=True))
+    levels: list[Level] = []
+    for table in reversed(tables):
+        levels.append(Level(*table, levels[-1] if levels else None))
+    return levels
+
+
+def log10_prices(gram: np.ndarray, c: np.ndarray, low: list[Level]) -> np.ndarray:
+    """log10 probability of each gram's symbol; the grams hold all of any last NEAR context symbols that they hold."""
+    order = np.argsort(gram)
+    order = order[c[order] > 0]
+    tables = [(gram[order], c[order])]
+    while len(tables) <= DEPTH - NEAR:
+        tables.append(np.unique(parents(tables[-1][0]), return_counts=True))
+    levels = list(low)
+    for table in reversed(tables):
+        levels.append(Level(*table, levels[-1]))
+
+    p, left = np.zeros(len(gram)), np.arange(len(gram))
+    total, kinds = np.zeros(len(gram)), np.zeros(len(gram))  # what is excluded
+    for depth in range(DEPTH, -1, -1):
+        level, cell = levels[depth], gram[left] // A ** (DEPTH - depth + 1) * A + gram[left] % A
+        context, at = _at(level.contexts, cell // A), _at(level.cells, cell)
+        here, coded = np.flatnonzero(context >= 0), at >= 0
+        all_of, kinds_of = np.zeros(len(left)), np.zeros(len(left))
+        all_of[here] = level.total[context[here]] - total[left[here]]
+        kinds_of[here] = level.kinds[context[here]] - kinds[left[here]]
+        p[left[coded]] += np.log10((level.counts[at[coded]] - DISCOUNT) / all_of[coded])
+        escaped = ~coded & (kinds_of > 0)
+        p[left[escaped]] += np.log10(DISCOUNT * kinds_of[escaped] / all_of[escaped])
+        kinds[left[here]] = level.kinds[context[here]]
+        if depth:
+            total[left[here]] = level.taken[context[here]]
+        left = left[~coded]
+    p[left] -= np.log10(A - kinds[left])
+    return p
 
 
 def word_counts(source: DataFrame) -> DataFrame:
@@ -176,31 +204,34 @@ def gram_counts(source: DataFrame) -> DataFrame:
 
 def prices(grams: DataFrame) -> DataFrame:
     """(gram, c, p): log10 probability of each gram's symbol after its context."""
-    low = grams.where("c > 0").groupBy(F.expr(f"gram div {A**DEPTH}").alias("latest"), (F.col("gram") % A).alias("symbol")).agg(F.sum("c").alias("c")).toArrow()  # at most A * A rows
-    latest, symbol, count = (c.to_numpy() for c in low.columns)
-    first = np.bincount(symbol, weights=count, minlength=A)
-
-    def price(group: pa.Table) -> pa.Table:
-        gram, c = (group.column(x).to_numpy() for x in ("gram", "c"))
-        seen = c > 0
-        _, of = np.unique(gram // A, return_inverse=True)
-        whole, kinds = np.bincount(of, weights=c), np.bincount(of, weights=seen)
-        p = np.log10(np.where(seen, c, 1) / np.maximum(whole + kinds, 1)[of])
-        if not seen.all():
-            mine = latest == gram[0] // A**DEPTH
-            cells, counts = [np.flatnonzero(first), (BASE[1] + latest[mine]) * A + symbol[mine]], [first[first > 0], count[mine]]
-            row = lambda depth, g: BASE[depth] + g // A ** (DEPTH + 1 - depth)
-            for depth in range(2, DEPTH + 1):
-                found, where = np.unique(row(depth, gram[seen]) * A + gram[seen] % A, return_inverse=True)
-                cells.append(found)
-                counts.append(np.bincount(where, weights=c[seen], minlength=len(found)))
-            trie = Trie(np.concatenate(cells).astype(np.int64), np.concatenate(counts))
-            for i in np.flatnonzero(~seen).tolist():
-                g = int(gram[i])
-                p[i] = trie._escaped(g % A, [0, *(row(depth, g) for depth in range(1, DEPTH + 1))])
-        return pa.table({"gram": gram, "c": c, "p": p})
-
-    return grams.withColumn("low", F.expr(f"gram div {A**3}")).groupBy("low").applyInArrow(price, "gram long, c long, p double")
+    spark = grams.sparkSession
+    near = grams.where("c > 0").select(F.expr(f"gram div {A ** (DEPTH - NEAR + 1)} * {A} + gram % {A}").alias("cell")).distinct()
+    low = near.groupBy(F.expr(f"cell div {A * A} * {A} + cell % {A}").alias("cell")).count().toArrow()  # at most A ** NEAR rows
+    sent = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in low.columns))
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = low_levels(*sent.value)
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < PRICED:
+                    continue
+            if not held:
+                break
+            gram, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            cut = len(gram)
+            if batch is not None:
+                deal = gram // A ** (DEPTH - NEAR + 1)
+                cut = int(np.searchsorted(deal, deal[-1]))
+            rest = (gram[cut:], c[cut:])
+            gram, c = gram[:cut], c[:cut]
+            held = [pa.RecordBatch.from_arrays([pa.array(x) for x in rest], ["gram", "c"])] if len(rest[0]) else []
+            if len(gram):
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(c), pa.array(log10_prices(gram, c, levels))], ["gram", "c", "p"])
+
+    dealt = grams.repartition(shuffle_partitions(spark), F.expr(f"gram div {A ** (DEPTH - NEAR + 1)}")).sortWithinPartitions("gram")
+    return dealt.select("gram", "c").mapInArrow(price, "gram long, c long, p double")
 
 
 def frequent(counts: DataFrame, top: int) -> DataFrame:

@@ -445,51 +445,74 @@ def test_ppm(spark):
     assert one[0].score > one[1].score and one[2].score == pytest.approx(-math.log10(258))
 
 
-def test_ppm_is_the_model_of_whole_texts(spark):
-    """Scores are those of plain PPM over whole texts with exact contexts, whatever is broadcast."""
-    rnd = random.Random(9)
-    texts = [" ".join(rnd.choices(["ab", "abc", "cab", "d"], k=12)) for _ in range(40)] + [None, "abzq"]
-    symbols = [[256] * 4 + [256 if b == 32 else b for b in (t or "").encode()] + [257] for t in texts]
+def plain_ppm(texts, ids):
+    """log10 score of each text by plain PPM: symbols one by one, dicts of whole contexts."""
+    deep, take = 5, 0.4
+    symbols = [[256] * deep + [256 if b == 32 else b for b in b" ".join((t or "").encode().lower().split())] + [257] for t in texts]
     counts = collections.defaultdict(collections.Counter)
-    for i, s in enumerate(symbols):
+    for i, s in zip(ids, symbols, strict=True):
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            for k in range(4, len(s)):
-                for depth in range(5):
-                    counts[tuple(s[k - depth : k])][s[k]] += 1
+            for k in range(deep, len(s)):
+                counts[tuple(s[k - deep : k])][s[k]] += 1
+    for depth in range(deep, 0, -1):
+        for context, seen in [(c, s) for c, s in counts.items() if len(c) == depth]:
+            for x in seen:
+                counts[context[1:]][x] += 1
 
     def code(s, k):
         out, gone = 0.0, set()
-        for depth in range(4, -1, -1):
+        for depth in range(deep, -1, -1):
             if seen := {x: c for x, c in counts.get(tuple(s[k - depth : k]), {}).items() if x not in gone}:
-                total = sum(seen.values()) + len(seen)
                 if s[k] in seen:
-                    return out + math.log10(seen[s[k]] / total)
-                out += math.log10(len(seen) / total)
+                    return out + math.log10((seen[s[k]] - take) / sum(seen.values()))
+                out += math.log10(take * len(seen) / sum(seen.values()))
                 gone |= seen.keys()
         return out - math.log10(258 - len(gone))
 
-    plain = {i: sum(code(s, k) for k in range(4, len(s))) for i, s in enumerate(symbols)}
-    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts)).collect()} == pytest.approx(plain)
-    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts), top=0, cache_grams=20).collect()} == pytest.approx(plain)
+    return {i: sum(code(s, k) for k in range(deep, len(s))) for i, s in zip(ids, symbols, strict=True)}
+
+
+def test_ppm_is_the_model_of_whole_texts(spark, monkeypatch):
+    """Scores are those of plain PPM over whole texts with exact contexts, whatever is broadcast or priced at once."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["ab", "abc", "cab", "d", "bêd"], k=12)) for _ in range(40)] + [None, "abzq", "Qx abcab " * 3]
+    plain = pytest.approx(plain_ppm(texts, range(len(texts))))
+    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts)).collect()} == plain
+    monkeypatch.setattr(ppm, "PRICED", 5)
+    assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts), top=0, cache_grams=20).collect()} == plain
+
 
+def test_ppm_without_training(spark):
+    """With held-out documents only every symbol is uniform."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = ppm.score(spark.createDataFrame([(i, "ab c") for i in held], "doc_id long, text string")).collect()
+    assert len(rows) == len(held) and all(r.score == pytest.approx(-5 * math.log10(258)) and r.n_known == r.train_tokens == 0 for r in rows)
 
-def test_trie_is_a_distribution():
+
+def test_ppm_against_base(spark):
+    """At sf0.001 scores are those of plain PPM; most training documents beat their base score."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = ppm.score(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    plain = plain_ppm(texts.values(), texts)
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(plain)
+    train = [r for r in rows if not r.held_out]
+    assert sum(r.score > r.base_score for r in train) > len(train) / 2
+
+
+def test_prices_are_a_distribution():
     """Probabilities of the next symbol add up to one under every context, with exclusion."""
     import numpy as np
 
-    seqs = [b"abc", b"abd", b"bca", b"a"]
-    at, weight = [], []
-    symbols, rows, _ = ppm.rows_of(seqs)
-    for r in rows:
-        at.append((r * ppm.A + symbols)[r >= 0])
-    cells, counts = np.unique(np.concatenate(at), return_counts=True)
-    trie = ppm.Trie(cells, counts)
-    for context in ([b"ab"], [b"zz"], [b""]):
-        _, rows, _ = ppm.rows_of(context)
-        last = [int(r[-1]) for r in rows if r[-1] >= 0]
-        assert sum(10 ** trie._escaped(s, last) for s in range(ppm.A)) == pytest.approx(1)
-    plain = [trie._escaped(int(s), [int(r[i]) for r in ppm.rows_of([b"abe"])[1] if r[i] >= 0]) for i, s in enumerate(ppm.rows_of([b"abe"])[0])]
-    assert trie.log10([b"abe"])[0] == pytest.approx(sum(plain))
+    grams, of = ppm.grams_of(["abc abd bca a", "abcabd", "zz top", None])
+    near = np.unique(ppm.parents(ppm.parents(grams)))
+    levels = ppm.low_levels(*np.unique(ppm.parents(near), return_counts=True))
+    seen, c = np.unique(grams, return_counts=True)
+    for context in (grams[3] // ppm.A, grams[-2] // ppm.A, 7 * ppm.A**4 + 9, ppm.WORD * ppm.A**4):
+        new = np.setdiff1d(context * ppm.A + np.arange(ppm.A), seen)
+        every, counts = np.concatenate((seen, new)), np.concatenate((c, np.zeros(len(new), dtype=np.int64)))
+        p = ppm.log10_prices(every, counts, levels)[every // ppm.A == context]
+        assert len(p) == ppm.A and (10**p).sum() == pytest.approx(1)
 
 
 def test_language(spark):
