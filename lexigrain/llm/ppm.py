@@ -37,6 +37,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,11 @@ DEPTH = 5
 NEAR = 3  # context symbols by which grams are dealt
 DISCOUNT = 0.4
 CACHE = 3_000_000
-KEPT_SYMBOLS = 8_000_000
+#: Symbols that a task reads before it counts their grams, and counts that it keeps before it sends them.
+READ_SYMBOLS = 2_000_000
+KEPT_GRAMS = 3_000_000
+#: Bytes of text that are taken at once, or one longer text.
+TAKEN = 1_000_000
 #: Grams that a task prices at once, or all of the same last NEAR context symbols.
 PRICED = 1_000_000
 TOP = 400_000
@@ -152,6 +157,19 @@ def log10_prices(gram: np.ndarray, c: np.ndarray, low: list[Level]) -> np.ndarra
     return p
 
 
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
+    """Ids and texts of a batch, at most 256 and about TAKEN bytes at once."""
+    length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(length.tolist()):
+        if i > start and (size + n > TAKEN or i - start == 256):
+            yield tuple(c.to_pylist() for c in batch.slice(start, i - start).columns)
+            start, size = i, 0
+        size += n
+    if batch.num_rows:
+        yield tuple(c.to_pylist() for c in batch.slice(start).columns)
+
+
 def word_counts(source: DataFrame) -> DataFrame:
     """(word, c) over the training documents of (doc_id, text); the end is the word b"\\n"."""
 
@@ -178,25 +196,34 @@ def gram_counts(source: DataFrame) -> DataFrame:
     """(gram, c) of all documents of (doc_id, text); only training documents count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        read: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def tally() -> None:
+            for counted in (True, False):
+                gram, c = np.unique(np.concatenate([g[k == counted] for g, k in read]), return_counts=True)
+                kept.append((gram, c if counted else np.zeros_like(c)))
+            read.clear()
 
         def send() -> pa.RecordBatch:
-            gram, counted = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, c = np.unique(gram[counted], return_counts=True)
-            new = np.setdiff1d(gram[~counted], found)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((found, new))), pa.array(np.concatenate((c, np.zeros(len(new), dtype=np.int64))))], ["gram", "c"])
+            gram, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            order = np.argsort(gram)
+            gram, c = gram[order], c[order]
+            starts = np.flatnonzero(np.diff(gram, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(np.add.reduceat(c, starts))], ["gram", "c"])
 
-        size = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
+            for ids, texts in stretches(batch):
                 gram, of = grams_of(texts)
-                held.append((gram, ~np.array([held_out(i) for i in ids], dtype=bool)[of]))
-                size += len(gram)
-                if size > KEPT_SYMBOLS:
+                read.append((gram, ~np.array([held_out(i) for i in ids], dtype=bool)[of]))
+                if sum(len(g) for g, _ in read) > READ_SYMBOLS:
+                    tally()
+                if sum(len(g) for g, _ in kept) > KEPT_GRAMS:
                     yield send()
-                    held, size = [], 0
-        if held:
+        if read:
+            tally()
+        if kept:
             yield send()
 
     return source.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -272,8 +299,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
         _, grams, prices_of, top_words = cache["ppm"]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
+            for ids, texts in stretches(batch):
                 docs = [words(t) for t in texts]
                 found, of = grams_of(texts)
                 order = np.argsort(found)

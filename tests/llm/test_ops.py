@@ -478,7 +478,8 @@ def test_ppm_is_the_model_of_whole_texts(spark, monkeypatch):
     texts = [" ".join(rnd.choices(["ab", "abc", "cab", "d", "bêd"], k=12)) for _ in range(40)] + [None, "abzq", "Qx abcab " * 3]
     plain = pytest.approx(plain_ppm(texts, range(len(texts))))
     assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts)).collect()} == plain
-    monkeypatch.setattr(ppm, "PRICED", 5)
+    for name, size in (("PRICED", 5), ("READ_SYMBOLS", 300), ("KEPT_GRAMS", 200), ("TAKEN", 100)):
+        monkeypatch.setattr(ppm, name, size)
     assert {r.doc_id: r.score for r in ppm.score(docs_frame(spark, texts), top=0, cache_grams=20).collect()} == plain
 
 
