@@ -81,3 +81,18 @@ def test_replace_and_heatmaps(spark):
     assert {r.bin for r in traces.heatmap_cut(m).collect()} == set(range(10))
     assert traces.heatmap_cut(m.limit(1)).first().bin == 0
     assert traces.heatmap_grid(traces.heatmap_floor(m), [2, 3, 4]).count() == 10
+
+
+def test_demo_steps_beyond_int(spark):
+    steps = [10_737, 10_738, 357_913_941, 2_147_483_647]
+    made = {(r.variant, r.step): r for r in files.demo_steps(spark.createDataFrame([(s,) for s in steps], "step bigint")).collect()}
+    assert len(made) == 6 * len(steps)
+    for k, (variant, base, scale) in enumerate(files.DEMO_VARIANTS):
+        for step in steps:
+            x = (step * 6 + k) % 2147483647
+            for _ in range(3):
+                x = (x * 48271 + 42 * 40692 + 11) % 2147483647
+            base, percent = int(base), round(scale * 100)
+            wall = max(10_000_000, base * percent * 100_000 + x % 1_000_000 * base * 3 - base * 1_500_000 + step * 200_000)
+            assert made[variant, step].wall_ms == (wall + 5_000) // 10_000 / 1000
+            assert made[variant, step].vocab_size == (None if k else int(250.5 + 198 + 0.5 * (step - 149)))
