@@ -193,3 +193,37 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["f", "0"], ["f", "-3"], ["f", "x"], []):
         with pytest.raises(SystemExit):
             parser().parse_args(bad)
+
+
+def test_scanned_blocks(spark, monkeypatch, tmp_path):
+    from lexigrain.operators import bpe_blocks, bpe_index
+
+    monkeypatch.setattr(bpe_index, "SCAN", 1)
+    monkeypatch.setattr(bpe_blocks, "BLOCK", 40)
+    monkeypatch.setattr(bpe_blocks, "HOLD", 5)
+    rnd = random.Random(2)
+    text = ODD + "a\x01b \x02 \U0001f600\U0001f600 " * 3 + " ".join("".join(rnd.choices("ab</w>", k=rnd.randint(1, 9))) for _ in range(150))
+    counts, path = counted(spark, text).cache(), str(tmp_path / "state")
+    vocab = {}
+    for r in counts.collect():
+        vocab[r.word] = r.freq
+    monkeypatch.setattr(bpe_index, "SCAN", 1 << 40)
+    indexed = Training(counts, stats=True)
+    indexed.run(40)
+    monkeypatch.setattr(bpe_index, "SCAN", 1)
+    scanned = Training(counts, path, stats=True)
+    scanned.run(15)
+    assert scanned.state["blocks"] and not any(n.startswith("postings") for n in scanned.folder.names())
+    again = Training(spark.createDataFrame([], "word string, freq bigint"), path)
+    again.run(25)
+    trace = lambda t, n: [tuple(r[:4]) + tuple(r[5:]) for r in t.state["trace"][:n]]
+    assert trace(again, 25) == trace(indexed, 25) and all(read == len(vocab) for _, read in again.state["jobs"])
+    assert {r.word for r in again.words_of([again.merges[0]]).collect()} <= set(vocab)  # asks for the index, made of words as they are now
+    monkeypatch.setattr(bpe_index, "MANY_LEFT", 1)
+    monkeypatch.setattr(bpe_index, "RARE", 0)
+    again.run(40)
+    assert again.state["blocks"] is None and again.state["postings"] and trace(again, 40) == trace(indexed, 40)
+    clean = {w.replace("\x01", "").replace("\x02", ""): 0 for w in vocab}
+    for w, n in vocab.items():
+        clean[w.replace("\x01", "").replace("\x02", "")] += n
+    assert [r[1:4] for r in trace(indexed, 40)] == plain_train(clean, 40)
