@@ -96,3 +96,20 @@ def test_demo_steps_beyond_int(spark):
             wall = max(10_000_000, base * percent * 100_000 + x % 1_000_000 * base * 3 - base * 1_500_000 + step * 200_000)
             assert made[variant, step].wall_ms == (wall + 5_000) // 10_000 / 1000
             assert made[variant, step].vocab_size == (None if k else int(250.5 + 198 + 0.5 * (step - 149)))
+
+
+def test_labels_follow_files_not_rows(spark, tmp_path, monkeypatch):
+    calls, label = spark.sparkContext.accumulator(0), files.variant_label
+
+    def counted(name):
+        seen = F.udf(lambda s: (calls.add(1), s)[1], "string").asNondeterministic()
+        return label(seen(name))
+
+    for folder, wall in (("a", 0.0), ("b", 2.0)):
+        for name in ("seq_results", "omp_2t"):
+            files.write_csv(spark.range(500).select("id", F.lit(wall).alias("wall")), str(tmp_path / folder / f"{name}.csv"))
+    monkeypatch.setattr(files, "variant_label", counted)
+    got = files.read_traces(spark, str(tmp_path), "id bigint, wall double")
+    assert got.columns == ["variant", "id", "wall"]
+    assert {tuple(r) for r in got.groupBy("variant", "wall").count().collect()} == {("Sequential", 2.0, 500), ("OMP-2t", 2.0, 500)}
+    assert calls.value < 500
