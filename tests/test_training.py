@@ -180,6 +180,15 @@ def test_engines(spark):
     assert [r[:4] for r in engines.recount(counts, 4, every=2)] == [tuple(r)[:4] for r in got]
 
 
+def test_recount_scans_blocks(spark, monkeypatch):
+    """The recount is that of plain training, and merges no word's symbols as text, which took most of its time."""
+    monkeypatch.setattr(bpe, "merge_pair", None)
+    monkeypatch.setattr(bpe, "vocabulary", None)
+    counts = counted(spark, ODD).cache()
+    got = [r[1:4] for r in engines.recount(counts, 7, every=2)]
+    assert len(got) == 7 and got == rules_of(train(counts, 7))
+
+
 def test_command_line(spark, tmp_path, capsys):
     from lexigrain.__main__ import main, parser
 
