@@ -289,6 +289,34 @@ def test_line_passages(spark):
         assert len(wanted) > n / 2 and found >= 0.95 * len(wanted) and not any(out[i] for i in range(0, 2 * n, 2))
 
 
+def test_line_links_are_whole(spark):
+    """However crowded keys are, all similar lines of COMMON common keys are linked: groups equal those of all such pairs."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvw", k=rnd.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for shared, own, n in ((9, 3, 60), (30, 4, 40)):
+        passage = rnd.choices(words, k=shared)
+        for _ in range(n):
+            mine = rnd.choices(words, k=own)
+            copy = mine[:]
+            k = rnd.randrange(own)
+            copy[k] = copy[k][:-1] + "z"
+            texts += [" ".join(passage + mine), " ".join(passage + copy)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", line_dedup.line_keys(F.col("t"), 0.9).alias("keys")).collect()
+    keys, group = {r.i: set(r["keys"]) for r in rows}, list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b, ws, vs = texts[j], set(a.split()), set(texts[j].split())
+            near = len(keys[i] & keys[j]) >= line_dedup.COMMON and len(ws & vs) >= line_dedup.SHARED * max(len(ws), len(vs))
+            if near and group[i] != group[j] and within(a, b, int(0.1 * max(len(a), len(b)) + 1e-9)):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    wanted = [int(group[i] != i) for i in range(len(texts))]
+    for options in ({}, {"crowd": 3, "broadcast_bytes": 0, "broadcast_lines": 0}):
+        out = {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs_frame(spark, texts), **options).collect()}
+        assert [out[i] for i in range(len(texts))] == wanted and 80 < sum(wanted) < len(texts)
+
+
 def test_token_counts(spark, texts):
     rnd = random.Random(2)
     pieces = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 4))) + rnd.choice(["", "</w>"]) for _ in range(60)} | {"a", "b", "a</w>", "b</w>"})
