@@ -317,6 +317,36 @@ def test_line_links_are_whole(spark):
         assert [out[i] for i in range(len(texts))] == wanted and 80 < sum(wanted) < len(texts)
 
 
+def test_line_pairs_are_few(spark, monkeypatch):
+    """Lines that share a passage but not their letters don't meet, nor do near copies of one line, each near it, pairwise."""
+    rnd, made = random.Random(17), {}
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvw", k=rnd.randint(2, 9))) for _ in range(3000)]
+    save = line_dedup.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "pairs-0":
+            made["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", saved)
+    passage, base = rnd.choices(words, k=14), rnd.choices(words, k=60)
+    texts = [" ".join(passage + rnd.choices(words, k=30)) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", line_dedup.line_keys(F.col("t"), 0.9).alias("keys")).collect()
+    keys = {r.i: set(r["keys"]) for r in rows}
+    near = [(i, j) for i in range(150) for j in range(i) if len(keys[i] & keys[j]) >= line_dedup.COMMON and min(len(texts[i]), len(texts[j])) >= 0.9 * max(len(texts[i]), len(texts[j]))]
+    out = line_dedup.line_counts(docs_frame(spark, texts)).collect()
+    assert len(near) > 2000 and made["n"] < len(near) / 10 and not any(r.n_removed for r in out)
+    copies = [base]
+    for _ in range(150):
+        w = base[:]
+        for k in rnd.sample(range(60), 4):
+            w[k] = rnd.choice(words)
+        copies.append(w)
+    out = line_dedup.line_counts(docs_frame(spark, [" ".join(w) for w in copies])).collect()
+    assert sum(r.n_removed for r in out) == 150 and made["n"] < 5 * 150
+
+
 def test_token_counts(spark, texts):
     rnd = random.Random(2)
     pieces = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 4))) + rnd.choice(["", "</w>"]) for _ in range(60)} | {"a", "b", "a</w>", "b</w>"})
