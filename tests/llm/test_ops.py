@@ -347,6 +347,44 @@ def test_line_pairs_are_few(spark, monkeypatch):
     assert sum(r.n_removed for r in out) == 150
 
 
+def test_line_lengths_meet(spark, monkeypatch):
+    """Lines that share a passage but none of near length are not carried on from their keys; those of near length are."""
+    rnd, met = random.Random(23), {}
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvw", k=rnd.randint(2, 9))) for _ in range(3000)]
+    save = line_dedup.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name in ("ordered", "texts"):
+            met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", saved)
+    passage, size, texts = rnd.choices(words, k=40), 20, []
+    while len(texts) < 14:
+        texts.append(" ".join(passage + rnd.choices(words, k=size)))
+        size = round((size + 40) * 1.25) - 40
+    out = line_dedup.line_counts(docs_frame(spark, texts)).collect()
+    assert met == {"texts": 0, "ordered": 0} and not any(r.n_removed for r in out)
+    out = {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs_frame(spark, [*texts, f"{texts[3]} too"])).collect()}
+    assert met["texts"] == 2 and [i for i in out if out[i]] == [14]
+
+
+def test_line_scripts(spark):
+    """Near copies are found in any script, and marks become spaces as one by one."""
+    rnd = random.Random(29)
+    for letters in ("абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρ", "가나다라마바사아자차카타파하", "äöüßéèñóíç"):
+        words, texts = ["".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(300)], []
+        for n in (9, 20, 60) * 3:
+            w = rnd.choices(words, k=n)
+            texts += [" ".join(w), " - ".join([*w[: n // 2], w[n // 2][:-1] + "x", *w[n // 2 + 1 :]])]
+        out = {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs_frame(spark, texts)).collect()}
+        assert [out[i] for i in range(len(texts))] == [0, 1] * 9, letters
+    odd = ["a-b  c", " -a", "a - b", "--", "a.\n. b", "a  ", "x\ty z", "ä–b_c"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").select(line_dedup.normal_lines(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["a b c"], ["a"], ["a b"], [""], ["a", "b"], ["a"], ["x y z"], ["ä–b c"]]
+
+
 def test_token_counts(spark, texts):
     rnd = random.Random(2)
     pieces = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 4))) + rnd.choice(["", "</w>"]) for _ in range(60)} | {"a", "b", "a</w>", "b</w>"})
